@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from assetlens.llm.best_fit_packing import op4_best_two_fit
+from assetlens.llm.pivotal_mixing import op6_pivotal_mixing
 from assetlens.llm.seed_extend import op7_seed_extend
+from assetlens.llm.simhash_dedup import op9_simhash
 from assetlens.llm.suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
+    "op4_best_two_fit": op4_best_two_fit,
+    "op6_pivotal_mixing": op6_pivotal_mixing,
     "op7_seed_extend": op7_seed_extend,
+    "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
