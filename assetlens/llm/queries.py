@@ -10,6 +10,7 @@ from assetlens.llm.pivotal_mixing import op6_pivotal_mixing
 from assetlens.llm.seed_extend import op7_seed_extend
 from assetlens.llm.simhash_dedup import op9_simhash
 from assetlens.llm.suffix_dedup import op10_suffix_dedup
+from assetlens.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_jpeg_media": op5_jpeg_media,
     "op6_pivotal_mixing": op6_pivotal_mixing,
     "op7_seed_extend": op7_seed_extend,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
