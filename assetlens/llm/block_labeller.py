@@ -32,7 +32,7 @@ from assetlens.llm.html_corpus import Maker
 PATH, WORDS, PLAIN, HIDDEN = 192, 64, 12, 24
 WIDTH = PATH + WORDS + PLAIN
 #: Made-up pages to learn from, passes over them, and their seed.
-PAGES, PASSES, SEED = 3000, 4, 11
+PAGES, PASSES, SEED = 2400, 4, 11
 #: Blocks that are held as vectors at once.
 AT_ONCE = 1 << 12
 _WORD = re.compile(r"\w+")

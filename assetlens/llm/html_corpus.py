@@ -35,7 +35,7 @@ class Maker:
 
     def prose(self, most: int = 6) -> str:
         r = self.r
-        text = " ".join(self.sentence() for _ in range(r.randint(1, most)))
+        text = self.sentence(r.randint(1, 3)) if r.random() < 0.12 else " ".join(self.sentence() for _ in range(r.randint(1, most)))
         kind = r.random()
         if kind < 0.12:  # tables, ratings and other odd texts
             sign = r.choice(["***", "!!", "%%%", "&amp;", " |", " |", "$$", ";", ",", " -", "#", " &middot;"])
@@ -122,8 +122,12 @@ class Maker:
             inner = self.wrap("header", self.attrs("entry-header article-header", 0.6), inner)
         if r.random() < 0.2:
             inner += self.text(r.choice(["div", "p"]), self.cue("byline", 2, 6), 0, self.attrs("byline author meta post-meta dateline"))
-        for _ in range(r.choice([1, 2, 3, 4, 6, 9, 14])):
+        short, again = self.sentence(r.randint(1, 3)), r.random() < 0.3
+        for _ in range(r.choice([1, 2, 3, 4, 6, 9, 14, 14, 60])):
             kind = r.random()
+            if again and kind < 0.3:  # articles that say one short thing again and again
+                inner += self.text("p", short, 1)
+                continue
             if kind < 0.72:
                 text = self.prose()
                 if r.random() < 0.15:

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from assetlens.llm import repeats as R
 from assetlens.llm.common import checkpoint, partitions, split_by, table, unpack
@@ -235,13 +236,16 @@ def near_lines(docs_z: DataFrame, found: DataFrame, n: int) -> DataFrame:
     return near.select("doc", "sub", "number").mapInArrow(place, R.PACKED)
 
 
-def dedup_lines(docs: DataFrame, near_chars: int = 12) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept (the other lines, as they were) of every row; a null text stays null."""
+def dedup_lines(docs: DataFrame, near_chars: int = 12, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept (the other lines, as they were) of every row; a null text stays null.
+
+    carry: columns that go along, as fields of a column ``row``."""
     n = 2 * partitions(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = checkpoint(find(docs, near_chars, n))
-    docs_z = R.texts(docs, n)
-    gone = found.unionByName(near_lines(docs_z, found, n)).filter(F.col("kind") == R.DONE).select("bucket", "rows")
+    along = [F.struct(*map(docs.__getitem__, carry)).alias("row")] if carry else []
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *along)
+    narrow = docs.select("doc_id", "text")
+    found = checkpoint(find(narrow, near_chars, n))
+    gone = found.unionByName(near_lines(R.texts(narrow, n), found, n)).filter(F.col("kind") == R.DONE).select("bucket", "rows")
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         doc, sub, column = R.unsqueezed(left)
@@ -252,9 +256,23 @@ def dedup_lines(docs: DataFrame, near_chars: int = 12) -> DataFrame:
         for d, s, missing, text in zip(doc.tolist(), sub.tolist(), left["missing"].to_pylist(), column, strict=True):
             lines, out = [] if missing else text.as_py().decode().split("\n"), places.get((d, s), ())
             rows.append((len(lines), len(out), None if missing else "\n".join(x for k, x in enumerate(lines) if k not in out)))
-        return pa.table({"doc_id": left["doc_id"].combine_chunks()} | {name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate((("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())))})
+        own = {name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate((("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())))}
+        return pa.table({"doc_id": left["doc_id"].combine_chunks()} | own | {name: left[name] for name in left.column_names[5:]})
+
+    whole = R.texts(docs, n)
+    schema = StructType([*StructType.fromDDL("doc_id bigint, n_lines bigint, n_removed bigint, kept string"), *whole.schema.fields[5:]])
+    return whole.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(both, schema)
+
+
+def without_repeated_lines(docs: DataFrame, near_chars: int = 12) -> DataFrame:
+    """docs with their columns, texts without the lines that repeat; n_chars, where there is one, counts what is left.
 
-    return docs_z.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(both, "doc_id bigint, n_lines bigint, n_removed bigint, kept string")
+    A document of which all lines go stays, with an empty text."""
+    done = dedup_lines(docs, near_chars, carry=docs.columns)
+    new = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return done.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

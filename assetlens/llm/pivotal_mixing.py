@@ -22,11 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assetlens.llm.common import checkpoint, table
+from assetlens.llm.common import NULL_ID, checkpoint, table
 
 #: Documents that one task rounds, and fractions that one node of the tree combines.
 PART, FAN_IN = 20_000, 64
-FIELDS = "doc_id bigint, source string, size bigint, copies double, part bigint, whole bigint, fraction double"
+FIELDS = "doc_id bigint, text_hash bigint, source string, size bigint, copies double, part bigint, whole bigint, fraction double"
 
 
 def n_words(text) -> F.Column:
@@ -72,7 +72,7 @@ def pivotal(sizes: np.ndarray, fractions: np.ndarray, rng: np.random.Generator)
 
 def _round(seed: int, level: int, last: bool):
     def each(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["size", "doc_id", "text_hash"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         source = "" if key[0] is None or key[0] != key[0] else "s" + str(key[0])
         rng = np.random.default_rng([seed, level, int(key[1]), zlib.crc32(source.encode())])
         fractions, carry = pivotal(rows["size"].to_numpy(), rows["fraction"].to_numpy(float), rng)
@@ -90,8 +90,8 @@ def _round(seed: int, level: int, last: bool):
 
 
 def mix_sources(docs: DataFrame, seed: int = 6) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (an integer) of every row."""
-    sizes = checkpoint(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size")))
+    """doc_id, text_hash, source, size, source_size, target, copies (an integer) of every row."""
+    sizes = checkpoint(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size")))
     targets = checkpoint(source_targets(sizes))
     largest = targets.agg(F.max("docs")).first()[0]
     if largest is None:
@@ -99,7 +99,7 @@ def mix_sources(docs: DataFrame, seed: int = 6) -> DataFrame:
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     parts = F.ceil(F.col("docs") / PART)
     rows = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", sizes["source"], "size", wanted.alias("copies"), F.pmod(F.xxhash64("doc_id"), parts).cast("bigint").alias("part"),
+        "doc_id", "text_hash", sizes["source"], "size", wanted.alias("copies"), F.pmod(F.xxhash64("doc_id", "text_hash"), parts).cast("bigint").alias("part"),
         F.floor(wanted).cast("bigint").alias("whole"), (wanted - F.floor(wanted)).alias("fraction"),
     )
     left, level = -(-largest // PART), 0
@@ -116,7 +116,19 @@ def mix_sources(docs: DataFrame, seed: int = 6) -> DataFrame:
         rows = rounded.filter(F.col("fraction").isNotNull()).withColumn("part", F.floor(F.col("part") / FAN_IN).cast("bigint"))
         left, level = -(-left // FAN_IN), level + 1
     named = done.withColumnRenamed("source", "from")
-    return named.join(targets, named["from"].eqNullSafe(targets["source"])).select("doc_id", "source", "size", "source_size", "target", F.col("whole").alias("copies"))
+    return named.join(targets, named["from"].eqNullSafe(targets["source"])).select("doc_id", "text_hash", "source", "size", "source_size", "target", F.col("whole").alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, seed: int = 6) -> DataFrame:
+    """docs with their columns, each row as often as the mix takes it.
+
+    Rows with one doc_id, source and text are one document, taken as often as all of them together."""
+    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("from")]
+    names = ["id", "from", "text_hash"]
+    taken = mix_sources(docs, seed).filter(F.col("copies") > 0).select(*key, "text_hash", "copies").groupBy(*names).agg(F.sum("copies").cast("int").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"), *key, F.xxhash64(F.col("text").cast("string")).alias("text_hash")).join(taken, names).dropDuplicates(names)
+    rows = rows.select("row", F.explode(F.sequence(F.lit(1), "copies")))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from assetlens.llm.best_fit_packing import op4_best_two_fit
+from assetlens.llm.block_labeller import op1_html_extraction
 from assetlens.llm.jpeg_media import op5_jpeg_media
 from assetlens.llm.line_dedup import op2_line_dedup
 from assetlens.llm.pivot_search import op3_pivot_topk
@@ -13,6 +14,7 @@ from assetlens.llm.suffix_dedup import op10_suffix_dedup
 from assetlens.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_line_dedup": op2_line_dedup,
     "op3_pivot_topk": op3_pivot_topk,
     "op4_best_two_fit": op4_best_two_fit,

@@ -24,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from assetlens.llm.common import ids, merged, mix, pack, split_by, unpack, utf8
 
@@ -254,7 +255,8 @@ def find(docs: DataFrame, units: type, window: int, seed: int, by_doc: bool, n_d
 
 
 def texts(docs: DataFrame, n_docs: int) -> DataFrame:
-    """docs (doc_id, text) with compressed texts, for shuffles by bucket."""
+    """docs (doc_id, text and any others, which stay) with compressed texts, for shuffles by bucket."""
+    rest = docs.schema.fields[2:]
 
     def squeeze(batches):
         for batch in batches:
@@ -262,9 +264,10 @@ def texts(docs: DataFrame, n_docs: int) -> DataFrame:
             doc, sub = keys_of(batch)
             z = zstandard.ZstdCompressor(level=1, write_content_size=True)
             packed = [z.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(doc, n_docs), pa.int32()), batch.column(0).cast(pa.int64()), pa.array(sub.astype(np.int64)), batch.column(1).is_null(), pa.array(packed, pa.binary())], names=["bucket", "doc_id", "sub", "missing", "z"])
+            own = [pa.array(bucket_of(doc, n_docs), pa.int32()), batch.column(0).cast(pa.int64()), pa.array(sub.astype(np.int64)), batch.column(1).is_null(), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(own + batch.columns[2:], names=["bucket", "doc_id", "sub", "missing", "z", *(f.name for f in rest)])
 
-    return docs.mapInArrow(squeeze, "bucket int, doc_id bigint, sub bigint, missing boolean, z binary")
+    return docs.mapInArrow(squeeze, StructType([*StructType.fromDDL("bucket int, doc_id bigint, sub bigint, missing boolean, z binary"), *rest]))
 
 
 def unsqueezed(left: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:

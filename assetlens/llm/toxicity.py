@@ -200,6 +200,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("score", scorer(model)(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that a lexicon learned from labels does not call toxic, with all their columns."""
+    return docs.filter(scorer(learn(docs, labels))(F.col("text").cast("string")) < 0.5)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(docs, table(spark, sf_dir, "labels"))
