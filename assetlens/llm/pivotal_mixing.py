@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from assetlens.llm.common import NULL_ID, checkpoint, table
 
 #: Documents that one task rounds, and fractions that one node of the tree combines.
-PART, FAN_IN = 20_000, 64
+PART, FAN_IN = 5_000, 64
 FIELDS = "doc_id bigint, text_hash bigint, source string, size bigint, copies double, part bigint, whole bigint, fraction double"
 
 
