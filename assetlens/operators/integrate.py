@@ -20,10 +20,10 @@ def two_key_match(left: DataFrame, right: DataFrame, first: list[str], second: l
 
 
 def variant_match(left: DataFrame, right: DataFrame, variants: list[Column], id_: str, value: str) -> DataFrame:
-    """Match by the most detailed of several key strings that finds a unique value."""
+    """Match by the most detailed of several key strings that finds a unique value; of rows of one id the smallest value of that level."""
     keys = F.posexplode(F.array(*variants)).alias("level", "key")
     found = unique_by(right.select(keys, value), ["level", "key"], value, equal_is_fine=True)
-    return left.select(id_, keys).join(found, ["level", "key"]).groupBy(id_).agg(F.min_by(value, "level").alias(value), F.min("level").alias("level"))
+    return left.select(id_, keys).join(found, ["level", "key"]).groupBy(id_).agg(F.min_by(value, F.struct("level", value)).alias(value), F.min("level").alias("level"))
 
 
 def merged_documents(*sets: DataFrame) -> DataFrame:
