@@ -5,7 +5,7 @@ next stage's docs. All but the last return the columns of ``documents``.
 
 1. toxicity: documents that the weighted lexicon calls toxic go.
 2. line dedup: lines that an earlier line equals, or is one edit away from, go; a document left without lines stays.
-3. SimHash near-dedup: one document of each group stays (word shingles of five, at most four bits apart).
+3. SimHash near-dedup: one document of each group stays (word shingles of five, an estimated similarity of 0.8 or more).
 4. mixing: documents are repeated or left out so that sources come near their target weights.
 5. packing: token sequences of at most 2048, by best-two-fit.
 
