@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlens.functions import text as T
-from assetlens.operators import crawl, resolve, tables
+from assetlens.operators import crawl, profiles, resolve, tables
 from assetlens.registry import query
 from assetlens.sources.tables import SECTIONS_SQL, sections, table
 from assetlens.streaming import events as streams
@@ -63,9 +63,11 @@ def t4_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.sessions(table(spark, sf_dir, "events")).select("user_id", F.unix_timestamp("start").alias("start"), "n")
 
 
-@query()
+@query(f"""WITH {SECTIONS_SQL}, o AS (SELECT section_id AS id, office_id, year, status, income, lag(income) OVER w AS x, lead(income) OVER w AS z FROM sections WINDOW w AS (PARTITION BY office_id, year, status ORDER BY income, section_id)),
+    p AS (SELECT *, round(x / (income + 1e-9), 6) AS p, round(income / (z + 1e-9), 6) AS q FROM o),
+    k AS (SELECT *, sum(CASE WHEN p >= 0.98 THEN 0 ELSE 1 END) OVER (PARTITION BY office_id, year, status ORDER BY income, id ROWS UNBOUNDED PRECEDING) AS k FROM p)
+    SELECT id, min(id) OVER (PARTITION BY office_id, year, status, k) AS cluster, greatest(CASE WHEN p >= 0.98 THEN p END, CASE WHEN q >= 0.98 THEN q END) AS score FROM k""")
 def e1_e4_resolved_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of one office, year and status within two percent of an income are taken for one person's."""
-    records = sections(spark, sf_dir).select(F.col("section_id").alias("id"), F.concat_ws(";", "office_id", "year", "status").alias("block"), "income")
-    both = resolve.pairs(records, "block", "id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.round(resolve.ratio(F.col("l.income"), F.col("r.income")), 6).alias("p"))
-    return resolve.clusters(records, both, "id", 0.98)
+    records = sections(spark, sf_dir).select(F.col("section_id").alias("id"), "office_id", "year", "status", "income")
+    return resolve.clusters(records, profiles.amount_links(records, ["office_id", "year", "status"], "id", "income"), "id", 0.98)

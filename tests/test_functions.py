@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from assetlens.functions import names, realty, text, urls
-from assetlens.operators import crawl, graph, integrate, ordered, resolve, tables
+from assetlens.operators import crawl, graph, integrate, ordered, profiles, resolve, tables
 from assetlens.sources import files
 from assetlens.streaming import events
 
@@ -115,3 +115,33 @@ def test_streams(spark, tmp_path):
 def test_votes_and_keys(spark):
     votes = spark.createDataFrame([(1, "y"), (1, "y"), (1, "n"), (2, "y"), (2, "n"), (3, "n")], "t int, a string")
     assert {(r.t, r.majority, r.unanimous) for r in integrate.voted(votes, "t", "a").collect()} == {(1, "y", False), (2, None, False), (3, "n", True)}
+
+
+def test_amount_links_find_what_all_pairs_find(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(i, r.choice("xy"), r.choice([100.0, 100.0, 101.0, 104.0, r.uniform(50, 200)])) for i in range(80)] + [(90, "x", None), (91, None, 5.0)]
+    records = spark.createDataFrame(rows, "id bigint, block string, amount double")
+    got = {x.id: (x.cluster, x.score) for x in resolve.clusters(records, profiles.amount_links(records, ["block"], "id", "amount"), "id", 0.98).collect()}
+    near = [(a[0], b[0], round(min(a[2], b[2]) / (max(a[2], b[2]) + 1e-9), 6)) for a in rows for b in rows if a[0] != b[0] and a[1] == b[1] and a[2] and b[2]]
+    near = [(a, b, p) for a, b, p in near if p >= 0.98]
+    label = {x[0]: x[0] for x in rows}
+    for _ in rows:
+        for a, b, _p in near:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == {i: (label[i], max((p for a, _b, p in near if a == i), default=None)) for i in label}
+
+
+def test_profiles(spark):
+    words = spark.createDataFrame([("ab c",), ("",), (None,), ("z" * 40,)], "t string")
+    h = 0
+    for _ in range(40):
+        h = (31 * h + ord("z")) % 2**32
+    assert [r[0] for r in words.select(profiles.text_hash(F.col("t"))).collect()] == [(97 * 31 + 98) * 31 + 99, 0, None, h - 2**32 if h >= 2**31 else h]
+    empty = spark.createDataFrame([], "g int, i int, k string, v bigint")
+    assert profiles.run_sums(empty, ["g"], [F.col("i")], "k", "v").collect() == []
+    runs = spark.createDataFrame([(1, 1, "a", 2), (1, 2, "a", 3), (1, 3, None, 4), (1, 4, None, 1), (1, 5, "a", 1)], empty.schema)
+    assert sorted((r.run, r.k, r.total) for r in profiles.run_sums(runs, ["g"], [F.col("i")], "k", "v").collect()) == [(1, "a", 5), (2, None, 5), (3, "a", 1)]
+    history = spark.createDataFrame([(1, 5, 5), (2, 4, 5), (3, 6, 1)], "t int, a int, b int")
+    assert sorted((r.t, r.metric) for r in profiles.falls(history, "t", ["a", "b"]).collect()) == [(2, "a"), (3, "b")]
