@@ -94,3 +94,23 @@ def amount_links(records: DataFrame, block: list[str], id_: str, amount: str) ->
     w = Window.partitionBy(*block).orderBy(amount, id_)
     linked = records.filter(F.col(amount) > 0).select(F.col(id_).alias("b"), F.lag(id_).over(w).alias("a"), F.col(amount).alias("_y"), F.lag(amount).over(w).alias("_x"))
     return linked.filter("a is not null").select("a", "b", F.round(F.col("_x") / (F.col("_y") + 1e-9), 6).alias("p"))
+
+
+def rare_and_rich(persons: DataFrame, name_ranks: DataFrame, surname_ranks: DataFrame, name: str, surname: str, income: str, most: float, least: float) -> DataFrame:
+    """Persons whose ranks of name and surname have a product below ``most`` and whose income is above ``least``.
+
+    The ranks come as (value, rank) of all names; the income filter goes before the joins."""
+    first = name_ranks.select(F.col(name_ranks.columns[0]).alias(name), F.col("rank").alias("_first"))
+    second = surname_ranks.select(F.col(surname_ranks.columns[0]).alias(surname), F.col("rank").alias("_second"))
+    rich = persons.filter(F.col(income) > least).join(first, name).join(second, surname)
+    return rich.filter(F.col("_first") * F.col("_second") < most).drop("_first", "_second")
+
+
+def status_changes(before: DataFrame, after: DataFrame, key: str, status: str, order: list[str]) -> DataFrame:
+    """How many keys changed from one status to another between two runs, and whether that is up, down or the same in ``order``
+    (worst first). A key or status missing in a run has the status null, below all others."""
+    place = lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, order)), c), F.lit(0))
+    both = before.select(key, F.col(status).alias("before")).join(after.select(key, F.col(status).alias("after")), key, "full")
+    counts = both.groupBy("before", "after").agg(F.count("*").alias("n"))
+    moved = place(F.col("after")) - place(F.col("before"))
+    return counts.withColumn("change", F.when(moved > 0, "up").when(moved < 0, "down").otherwise("same"))

@@ -108,3 +108,29 @@ def o8_next_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page each site's crawl takes next: the heaviest, ties to the smaller id."""
     pages = table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), "url", F.length("html").cast("bigint").alias("weight"), "page_id")
     return ordered.first_of(pages, ["host"], [F.col("weight").desc_nulls_last(), F.col("page_id")]).select("host", "url", "weight")
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_FIRST} AS name, {_SECOND} AS surname, p_retailprice AS income FROM part),
+    f AS (SELECT name, row_number() OVER (ORDER BY count(DISTINCT surname) DESC, name DESC) - 1 AS r FROM p GROUP BY 1), s AS (SELECT surname, row_number() OVER (ORDER BY count(DISTINCT name) DESC, surname DESC) - 1 AS r FROM p GROUP BY 1)
+    SELECT p_partkey, name, surname, income FROM p JOIN f USING (name) JOIN s USING (surname) WHERE f.r * s.r < 12 AND income > 905""")
+def f7_rare_and_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split("p_name", " ")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.get(words, F.lit(0)).alias("name"), F.get(words, F.lit(1)).alias("surname"), F.col("p_retailprice").alias("income"))
+    return profiles.rare_and_rich(parts, ordered.unique_ranks(parts, "name", "surname"), ordered.unique_ranks(parts, "surname", "name"), "name", "surname", "income", 12, 905).select("p_partkey", "name", "surname", "income")
+
+
+@query("""WITH b AS (SELECT c_custkey AS k, max_by(o_orderstatus, o_orderkey) AS s FROM orders JOIN customer ON c_custkey = o_custkey WHERE year(o_orderdate) <= 1996 GROUP BY 1), a AS (SELECT o_custkey AS k, max_by(o_orderstatus, o_orderkey) AS s FROM orders WHERE year(o_orderdate) > 1996 GROUP BY 1),
+    c AS (SELECT b.s AS before, a.s AS after, count(*) AS n FROM b FULL JOIN a ON b.k = a.k GROUP BY ALL)
+    SELECT *, CASE sign(coalesce(list_position(['F', 'P', 'O'], after), 0) - coalesce(list_position(['F', 'P', 'O'], before), 0)) WHEN 1 THEN 'up' WHEN -1 THEN 'down' ELSE 'same' END AS change FROM c""")
+def a31_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last status of each person's sections up to 1996 and after."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("year"), "o_orderstatus")
+    last = lambda rows: rows.groupBy(F.col("o_custkey").alias("k")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("status"))
+    return profiles.status_changes(last(orders.filter("year <= 1996")), last(orders.filter("year > 1996")), "k", "status", ["F", "P", "O"])
+
+
+@query(f"""WITH {SECTIONS_SQL}, m AS (SELECT office_id, year, median(income) AS m FROM sections GROUP BY ALL)
+    SELECT office_id, {", ".join(f"round(max(m) FILTER (year = {y}), 2) AS y{y}" for y in range(1992, 1999))} FROM m GROUP BY 1""")
+def k8_pivoted_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = sections(spark, sf_dir).groupBy("office_id", "year").agg(F.median("income").alias("m")).groupBy("office_id").pivot("year", list(range(1992, 1999))).agg(F.max("m"))
+    return wide.select("office_id", *(F.round(F.col(f"`{y}`"), 2).alias(f"y{y}") for y in range(1992, 1999)))
