@@ -225,7 +225,7 @@ def links_below(key: np.ndarray, words: list[np.ndarray], within: int, at_once:
     """Links between rows of one key, at least one of which is filed there, as a forest of names. A key's last bit is set in rows that probe.
 
     In a long run, rows near one of a few of its filed rows are linked to that one already; if they are most of the run, only the others
-    are compared with all filed rows. In other runs rows are compared with the next one, the one after that, and so on, all at once."""
+    are compared: filed ones with all rows, probing ones with all filed rows. In other runs rows are compared with the next one, the one after that, and so on, all at once."""
     order = np.argsort(key, kind="stable")
     key, words = key[order], [w[order] for w in words]
     filed = key & 1 == 0
@@ -271,7 +271,8 @@ def links_below(key: np.ndarray, words: list[np.ndarray], within: int, at_once:
         core[rows] = near(rows, pivots) | (rows == pivots)
         compare(rows, pivots)
     active, step = np.flatnonzero(by_core & ~core), 0
-    while len(active := active[head[active] + step < stop[active]]):
+    last = np.where(filed, end, stop)  # only one side of a pair probes, so a filed row meets probing rows in the core nowhere else
+    while len(active := active[head[active] + step < last[active]]):
         compare(active, head[active] + step)
         step += 1
     active, step = np.flatnonzero(filed & ~by_core), 1

@@ -142,6 +142,26 @@ def test_runs_with_a_core_lose_nothing():
         assert {(int(x), int(y)) for x in fps for y in fps if found(int(x)) == found(int(y))} == {(int(x), int(y)) for x in fps for y in fps if want(int(x)) == want(int(y))}
 
 
+def test_filed_rows_outside_the_core_meet_probing_rows_in_it():
+    """Bound 4, parts of 21, 21 and 22 bits with thresholds 1, 1, 0: F and P differ in one bit of the first part (set in P, so P probes F's
+    value), in two of the second and one of the third, so they meet in the first part only. P is near the pivot, F is not."""
+    value = 5 << 3
+    f = value | 1 << 30 | 1 << 50
+    p = f ^ 1 << 0 ^ 1 << 25 ^ 1 << 26 ^ 1 << 45
+    centre = p ^ 1 << 0 ^ 1 << 27 ^ 1 << 28
+    crowd = [centre, *(centre ^ 1 << i ^ 1 << j for i in range(31, 42) for j in range(46, 56))]
+    parts = [(list(range(21)), 1), (list(range(21, 42)), 1), (list(range(42, 64)), 0)]
+    fps = np.array([*crowd, f, p], np.uint64)
+    sent = {int(x): {(int(k), probes) for keys, probes, m in S.keys([np.array([x])], parts, 4, [np.zeros(0, np.uint64)] * 3) for k in keys[m]} for x in fps}
+    shared = {k for k, _ in sent[f]} & {k for k, _ in sent[p]}
+    assert len(shared) == 1 and (next(iter(shared)), False) in sent[f] and (next(iter(shared)), True) in sent[p]
+    rows = [(probes, x) for x, keys in sent.items() for k, probes in sorted(keys) if k in shared]
+    assert len(rows) >= S.LONG_RUN and (f ^ p).bit_count() == 4 and all((f ^ x).bit_count() > 4 for _, x in rows if x != p and x != f)
+    a, b = S.links_below(np.array([10 + probes for probes, _ in rows], np.uint32), [np.array([x for _, x in rows], np.uint64)], 4)
+    found = joined(zip(a.tolist(), b.tolist(), strict=True))
+    assert found(f) == found(p)
+
+
 def test_copies_of_similarity_above_the_bound_go(spark):
     """Texts of 400 words with replaced words: copies that share 90 % of their shingles go, unrelated ones and those that share a third stay."""
     r = random.Random(2)
