@@ -5,6 +5,9 @@ their own. All other pieces are dealt at random over blocks that are large enoug
 less than one sequence). In a block, a sequence is filled greedily with the largest piece that fits; what gap is left
 is then tightened by putting two pieces that are not yet packed in the place of the sequence's smallest one.
 
+The queries split texts at the vocabulary's added tokens first (SPECIAL), as its ``tokenizers`` file does; the functions take
+them as plain text unless told which.
+
 A null text is empty and still ends in the end token. Repeated rows are documents of their own. Other columns are
 ignored; an empty table gives no rows.
 """
@@ -12,6 +15,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import re
 import threading
 import zlib
 from collections.abc import Iterator
@@ -27,13 +31,16 @@ from assetlens.llm.common import table, utf8
 BLOCK = 20_000
 #: Distinct words whose tokens a Python worker remembers.
 REMEMBERED = 300_000
+#: The added tokens of byte_bpe_50k.json and their ids; the rank file has none.
+SPECIAL = {"<|endoftext|>": 50256}
 _local = threading.local()
 
 
 class Tokens(dict):
-    """Tokens of words as little-endian 32-bit ids, remembered. Ids equal those of the vocabulary's ``tokenizers`` file."""
+    """Tokens of words as little-endian 32-bit ids, remembered. Ids equal those of the vocabulary's ``tokenizers`` file: at its defaults,
+    if special holds its added tokens, else with encode_special_tokens set."""
 
-    def __init__(self, ranks_file: str):
+    def __init__(self, ranks_file: str, special: dict[str, int] | None = None):
         import public_tokenizers
         import regex
         import tiktoken
@@ -41,6 +48,8 @@ class Tokens(dict):
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.words = regex.compile(public_tokenizers.PATTERN).findall
+        self.special = {token: np.array([k], "<u4").tobytes() for token, k in (special or {}).items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if special else None
         self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def __missing__(self, word: str) -> bytes:
@@ -52,27 +61,29 @@ class Tokens(dict):
         return ids
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.words(text)))
+        if self.split is None:
+            return b"".join(map(self.__getitem__, self.words(text)))
+        return b"".join(self.special[x] if k % 2 else b"".join(map(self.__getitem__, self.words(x))) for k, x in enumerate(self.split(text)))
 
 
-def tokens(ranks_file: str | None = None) -> Tokens:
+def tokens(ranks_file: str | None = None, special: dict[str, int] | None = None) -> Tokens:
     if ranks_file is None:
         import public_tokenizers
 
         ranks_file = public_tokenizers.path("byte_bpe_50k.tiktoken")
     found = getattr(_local, "tokens", None)
-    if found is None or found[0] != ranks_file:
-        _local.tokens = found = (ranks_file, Tokens(ranks_file))
+    if found is None or found[0] != (ranks_file, special):
+        _local.tokens = found = ((ranks_file, special), Tokens(ranks_file, special))
     return found[1]
 
 
-def pieces(docs: DataFrame, most: int = 2048, end_id: int = 0, ranks_file: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, most: int = 2048, end_id: int = 0, ranks_file: str | None = None, keep_ids: bool = False, special: dict[str, int] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, as little-endian 32-bit values) of the pieces of every document."""
 
     def each(batches):
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            known = tokens(ranks_file)
+            known = tokens(ranks_file, special)
             raw, offsets = utf8(batch.column(1))
             raw, rows = raw.tobytes(), []
             for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -169,9 +180,9 @@ def pack_block(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return sequence, offset
 
 
-def pack_documents(docs: DataFrame, most: int = 2048, end_id: int = 0, ranks_file: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, most: int = 2048, end_id: int = 0, ranks_file: str | None = None, keep_ids: bool = False, special: dict[str, int] | None = None) -> DataFrame:
     """pieces() with their sequence_id and offset."""
-    cut = pieces(docs, most, end_id, ranks_file, keep_ids)
+    cut = pieces(docs, most, end_id, ranks_file, keep_ids, special)
     n_blocks = -(-max(1, docs.count()) // BLOCK)
     # blocks are chosen by a hash of the whole row, so that no id can crowd one
     cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(n_blocks)))
@@ -185,4 +196,4 @@ def pack_documents(docs: DataFrame, most: int = 2048, end_id: int = 0, ranks_fil
 
 
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents")).drop("ids")
+    return pack_documents(table(spark, sf_dir, "documents"), special=SPECIAL).drop("ids")

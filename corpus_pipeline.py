@@ -20,7 +20,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetlens.llm.best_fit_packing import pack_documents
+from assetlens.llm.best_fit_packing import SPECIAL, pack_documents
 from assetlens.llm.common import shared_folder, table
 from assetlens.llm.line_dedup import without_repeated_lines
 from assetlens.llm.pivotal_mixing import mixed_documents
@@ -47,7 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs).drop("ids")
+    return pack_documents(docs, special=SPECIAL).drop("ids")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -48,6 +48,21 @@ def test_cases(spark, monkeypatch):
     assert all(zlib.crc32(kept[r.doc_id, r.piece]) == r.ids_crc32 for r in B.pack_documents(frame, 16).collect() if r.doc_id not in (1, None))
 
 
+def test_added_tokens_of_the_queries(spark, tmp_path):
+    """Both queries give the ids of the tokenizers file at its defaults, added tokens and all."""
+    import corpus_pipeline
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n  y", " <|endoftext|>  <|endoftext|", "<|ENDOFTEXT|> <|<|endoftext|>|>", "plain é 😀", "", None]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {x.content: k for k, x in t.get_added_tokens_decoder().items()} == B.SPECIAL
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    want = {k: zlib.crc32(np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4").tobytes()) for k, x in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.ids_crc32 for r in B.op4_best_two_fit(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.ids_crc32 for r in corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()} == want
+
+
 def test_best_two_fit():
     assert sorted(map(sorted, B.best_two_fit(np.array([6, 5, 3, 2, 2]), 10))) in ([[2, 2, 6], [3, 5]], [[2, 3, 5], [2, 6]])
     rng = np.random.default_rng(1)
