@@ -109,6 +109,14 @@ def e3_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected(nodes, links)
 
 
+@query()
+def e3_all_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over all links and all suppliers and parts, those without links included. SQL would list all reachable pairs."""
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000_000_000).alias("b")).dropna()
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")).union(table(spark, sf_dir, "part").select(F.col("p_partkey") + 1_000_000_000_000)).dropna()
+    return graph.connected(own.union(links.select("a")).union(links.select("b")).distinct(), links)
+
+
 @query("""WITH RECURSIVE t AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey // 2 END AS up FROM supplier),
     r(id, top_id, d) AS (SELECT id, id, 0 FROM t UNION ALL SELECT r.id, up, d + 1 FROM r JOIN t ON t.id = r.top_id WHERE up IS NOT NULL AND d < 5)
     SELECT id, arg_max(top_id, d) AS top_id FROM r GROUP BY id""")
