@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Stands for a doc_id that is null: it sorts after all others.
 NULL_ID = 2**63 - 1
@@ -18,10 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; only where none is set (tests), one of our own."""
+    """The folder the cluster names in spark.checkpoint.dir. Where none is set, one of our own, but only on a single machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -35,6 +41,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text that a shuffle partition is planned for, and buckets that it is cut into (a bucket is held in memory as a whole).
+PART_BYTES, BUCKETS = 64 << 20, 8
+
+
+def layout(docs: DataFrame) -> tuple[int, int]:
+    """How many shuffle partitions and buckets the texts of docs take, so that neither grows with the corpus."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    parts = max(partitions(docs.sparkSession), -(-size // PART_BYTES))
+    return parts, BUCKETS * parts
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column without a copy, and each row's start in them (one more for the end). Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,26 +1,24 @@
-"""Repeated strings of a fixed length across documents, found without listing pairs.
+"""What both substring operators need: which places can repeat at all, their texts, and what is left without the repeats.
 
 Every window of ``window`` units (bytes or words) holds an *anchor*: the unit at which the seed of ``seed`` units with
-the smallest hash starts. Equal windows have their anchor at the same place, so windows need be compared only below
-equal seeds. Neighbouring windows with one anchor form a *context*.
+the smallest hash starts. Equal windows have their anchor at the same place, so a window can repeat only if its seed
+occurs again. Neighbouring windows with one anchor form a *context*.
 
-1. ``scan``: each task finds the contexts of its documents and keeps one of those that are equal (the first); the
-   others are repeats already. Contexts go to a shuffle partition by their seed, packed in blobs.
-2. ``settle``: below each seed, equal contexts leave their first; the others are repeats. Seeds with one context are
-   done; contexts of seeds with several differ, and some of their windows may still be equal.
-3. Open contexts are cut from the texts (joined by a hash of the document) and compared window by window; how is
-   up to the operator: seed_extend.py and suffix_dedup.py.
+``find`` decides nothing about repeats: it opens the contexts whose seed (a hash of it) occurs more than once, which
+loses none. ``with_open`` cuts open contexts from the texts; comparing them is up to the operator: seed_extend.py and
+suffix_dedup.py. ``finish`` takes the spans that these found out of the texts.
 
-A hot seed doesn't meet in one task: a task sends at most ``HOT`` contexts of a seed and marks the rest open at once.
+A hot seed doesn't meet in one task: a batch opens its own contexts of a seed with more than ``HOT`` of them at once,
+and sends one as a witness.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +27,15 @@ from pyspark.sql.types import StructType
 from assetlens.llm.common import ids, merged, mix, pack, split_by, unpack, utf8
 
 CHUNK = 1 << 20
-#: Contexts of one seed that a task sends to the seed's partition.
-HOT = 16
+#: Contexts of one seed from which on a batch, and the whole corpus, calls it crowded.
+HOT, CROWD = 16, 4096
 CONTEXT, DONE, OPEN, CLASS = 0, 1, 2, 3
-CONTEXT_TYPES = ["<u4", "<u8", "<i8", "<u4", "<u4", "u1", "u1"]  # seed, context, doc, sub, start, windows, anchor
-SPAN_TYPES = ["<i8", "<u4", "<u4", "<u4"]  # doc, sub, start, end
-CLASS_TYPES = ["<u8", "<u8", "<i8", "<u4", "<u4"]  # string (128 bits), doc, sub, start
-OPEN_TYPES = ["<i8", "<u4", "<u4", "u1", "u1"]  # doc, sub, start, windows, anchor
+CONTEXT_TYPES = ["<u4", "<i8", "<u8", "<u4", "u1", "u1", "u1"]  # seed, doc, sub, start, windows, anchor, whether its batch opened the seed
+SPAN_TYPES = ["<i8", "<u8", "<u4", "<u4"]  # doc, sub, start, end
+CLASS_TYPES = ["<u8", "<u8", "<i8", "<u8", "<u4"]  # string (128 bits), doc, sub, start
+OPEN_TYPES = ["<i8", "<u8", "<u4", "u1", "u1", "u1"]  # doc, sub, start, windows, anchor, whether the seed is crowded
 PACKED = "bucket int, kind int, rows binary"
+PACKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("rows", pa.binary())])
 _LOW = np.uint64((1 << 21) - 1)
 
 
@@ -99,7 +98,7 @@ class Words:
             j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + CHUNK, "right")))
             lo, hi = self.start[i], self.end[j - 1]
             if hi - lo > CHUNK:  # one huge word
-                self.hashes[i] = int.from_bytes(zlib.crc32(self.raw[lo:hi]).to_bytes(4, "little") + zlib.adler32(self.raw[lo:hi]).to_bytes(4, "little"), "little")
+                self.hashes[i] = xxhash.xxh3_64_intdigest(self.raw[lo:hi])
             else:
                 self.hashes[i:j] = Sums(BYTE[self.raw[lo:hi]])(self.start[i:j] - lo, self.end[i:j] - lo)
             i = j
@@ -124,7 +123,7 @@ def chunks(offsets: np.ndarray, window: int) -> Iterator[tuple]:
 
 
 def contexts(units, window: int, seed: int) -> list[np.ndarray]:
-    """Of all contexts in the batch: document's row, first window, number of windows, anchor from there, seed and context hash."""
+    """Of all contexts in the batch: document's row, first window, number of windows, anchor from there, and seed hash."""
     found: list[list[np.ndarray]] = []
     with np.errstate(over="ignore"):
         for lo, hi, offsets, docs, base in chunks(units.offsets, window):
@@ -148,13 +147,12 @@ def contexts(units, window: int, seed: int) -> list[np.ndarray]:
             cut = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
             start, end = at[cut], at[np.r_[cut[1:], len(at)] - 1]
             anchor, doc = anchor[cut], doc[cut]
-            shape = ((anchor - start) * 4096 + (end - start)).astype(np.uint64)
-            found.append([docs[doc], start - offsets[doc] + base[doc], end - start + 1, anchor - start, hashes[anchor], mix(sums(start, end + window) + shape)])
-    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
+            found.append([docs[doc], start - offsets[doc] + base[doc], end - start + 1, anchor - start, hashes[anchor]])
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]
 
 
-def bucket_of(doc: np.ndarray, n: int) -> np.ndarray:
-    return (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
+def bucket_of(doc: np.ndarray, sub: np.ndarray, n: int) -> np.ndarray:
+    return (mix(mix(doc.astype(np.int64).view(np.uint64)) ^ sub.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
 def firsts(keys: list[np.ndarray], doc, sub, start, by_doc: bool):
@@ -178,61 +176,57 @@ def firsts(keys: list[np.ndarray], doc, sub, start, by_doc: bool):
     return order, group, repeat, new
 
 
-def _settle(seed, ctx, doc, sub, start, n, anchor, window: int, by_doc: bool, hot: int | None):
-    """Spans that repeat, open contexts, and (if hot is given) what must go to the seeds' partitions."""
-    order, group, repeat, stays = firsts([seed, ctx], doc, sub, start, by_doc)
-    seed, ctx, doc, sub, start, n, anchor = (x[order] for x in (seed, ctx, doc, sub, start, n, anchor))
-    spans = [doc[repeat], sub[repeat], start[repeat], (start + n - 1 + window)[repeat]]
-    new_seed = np.r_[True, seed[1:] != seed[:-1]] if len(seed) else np.zeros(0, bool)
-    of = np.cumsum(new_seed) - 1
-    first_group = group[new_seed]
-    number = np.r_[first_group[1:], group[-1:] + 1] - first_group  # contexts of each seed
-    if hot is None:
-        several = number[of] > 1
-        if by_doc and len(doc):
-            cuts = np.flatnonzero(new_seed)
-            several &= (np.minimum.reduceat(doc, cuts) < np.maximum.reduceat(doc, cuts))[of]
-        go = stays & several
-        return spans, [x[go] for x in (doc, sub, start, n, anchor)], None
-    crowded = number[of] > hot
-    go = stays & crowded
-    send = stays & (~crowded | (group - first_group[of] < 2))
-    return spans, [x[go] for x in (doc, sub, start, n, anchor)], [x[send] for x in (seed, ctx, doc, sub, start, n, anchor)]
+def _several(seed, doc, sub, start, witness, by_doc: bool):
+    """Sorted by seed: the order, how many rows each one's seed has, and whether it has more than one place (or a witness of more)."""
+    order = np.argsort(seed, kind="stable")
+    seed, doc, sub, start, witness = (x[order] for x in (seed, doc, sub, start, witness))
+    heads = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]][: len(seed)])
+    sizes = np.diff(np.r_[heads, len(seed)])
+    apart = np.repeat(np.maximum.reduceat(doc, heads) != np.minimum.reduceat(doc, heads), sizes)
+    if not by_doc:
+        first = np.repeat(heads, sizes)
+        apart |= np.repeat(np.logical_or.reduceat((sub != sub[first]) | (start != start[first]), heads), sizes)
+    return order, np.repeat(sizes, sizes), apart, np.repeat(np.logical_or.reduceat(witness != 0, heads), sizes)
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "rows"])
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(PACKED_SCHEMA)], schema=PACKED_SCHEMA)
 
 
 def _typed(columns: list[np.ndarray], types: list[str]) -> list[np.ndarray]:
     return [c.astype(t) for c, t in zip(columns, types, strict=True)]
 
 
-def _out(spans, opened, n_docs: int) -> list[tuple[int, int, bytes]]:
-    return [(b, DONE, r) for b, r in split_by(bucket_of(spans[0], n_docs), _typed(spans, SPAN_TYPES))] + [(b, OPEN, r) for b, r in split_by(bucket_of(opened[0], n_docs), _typed(opened, OPEN_TYPES))]
+def _opened(doc, sub, start, n, anchor, crowded, n_docs: int) -> list[tuple[int, int, bytes]]:
+    return [(b, OPEN, r) for b, r in split_by(bucket_of(doc, sub, n_docs), _typed([doc, sub, start, n, anchor, crowded], OPEN_TYPES))]
 
 
 def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """doc and sub: two rows with one doc_id are two documents unless their texts are equal."""
+    """doc and sub, a 64-bit hash of the text: two rows with one doc_id are two documents unless their texts are equal."""
     raw, offsets = utf8(batch.column(1))
-    return ids(batch.column(0)), np.array([zlib.crc32(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint32)
+    return ids(batch.column(0)), np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
 
 
-def find(docs: DataFrame, units: type, window: int, seed: int, by_doc: bool, n_docs: int) -> DataFrame:
-    """Steps 1 and 2 over docs (doc_id, text): packed rows of spans that repeat (DONE) and of open contexts (OPEN), by document."""
+def find(docs: DataFrame, units: type, window: int, seed: int, by_doc: bool, shape: tuple[int, int]) -> DataFrame:
+    """Packed rows (OPEN), by document, of all contexts over docs (doc_id, text) whose seed occurs at another place; in another doc, if by_doc."""
+    parts, n_docs = shape
 
     def scan(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            u = units(batch.column(1))
             doc, sub = keys_of(batch)
-            row, start, n, anchor, seeds, ctx = contexts(u, window, seed)
-            spans, opened, send = _settle(seeds, ctx, doc[row], sub[row], start, n, anchor, window, by_doc, HOT)
-            bucket = ((send[0] >> np.uint64(32)) % np.uint64(n_docs)).astype(np.int64)
-            out = [(b, CONTEXT, r) for b, r in split_by(bucket, _typed(send, CONTEXT_TYPES))] + _out(spans, opened, n_docs)
-            if out:
-                yield _rows(out)
+            row, start, n, anchor, seeds = contexts(units(batch.column(1)), window, seed)
+            if not len(row):
+                continue
+            columns = [doc[row], sub[row], start, n, anchor]
+            bucket, seeds = ((seeds >> np.uint64(32)) % np.uint64(n_docs)).astype(np.int64), seeds.astype(np.uint32)
+            order, number, *_ = _several(seeds, *columns[:3], np.zeros(len(row), bool), by_doc)
+            bucket, seeds, columns = bucket[order], seeds[order], [c[order] for c in columns]
+            crowded = number > HOT
+            send = ~crowded | np.r_[True, seeds[1:] != seeds[:-1]]
+            out = [(b, CONTEXT, r) for b, r in split_by(bucket[send], _typed([c[send] for c in (seeds, *columns, crowded)], CONTEXT_TYPES))]
+            yield _rows(out + _opened(*(c[crowded] for c in (*columns, crowded)), n_docs))
 
     def settle(batches):
         blobs = []
@@ -244,14 +238,15 @@ def find(docs: DataFrame, units: type, window: int, seed: int, by_doc: bool, n_d
                 yield rest
         columns = unpack(blobs, CONTEXT_TYPES)
         blobs.clear()
-        if len(columns[0]):
-            columns[4] = columns[4].astype(np.int64)
-            columns[5] = columns[5].astype(np.int64)
-            spans, opened, _ = _settle(*columns, window, by_doc, None)
-            if out := _out(spans, opened, n_docs):
-                yield _rows(out)
+        if not len(columns[0]):
+            return
+        order, number, apart, crowded = _several(*columns[:4], columns[6], by_doc)
+        columns = [c[order] for c in columns]
+        go = (apart | crowded) & (columns[6] == 0)  # a witness was opened by its batch
+        if out := _opened(*(c[go] for c in columns[1:6]), (crowded | (number > CROWD))[go], n_docs):
+            yield _rows(out)
 
-    return docs.mapInArrow(scan, PACKED).repartition("bucket").mapInArrow(settle, PACKED)
+    return docs.mapInArrow(scan, PACKED).repartition(parts, "bucket").mapInArrow(settle, PACKED)
 
 
 def texts(docs: DataFrame, n_docs: int) -> DataFrame:
@@ -264,7 +259,7 @@ def texts(docs: DataFrame, n_docs: int) -> DataFrame:
             doc, sub = keys_of(batch)
             z = zstandard.ZstdCompressor(level=1, write_content_size=True)
             packed = [z.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            own = [pa.array(bucket_of(doc, n_docs), pa.int32()), batch.column(0).cast(pa.int64()), pa.array(sub.astype(np.int64)), batch.column(1).is_null(), pa.array(packed, pa.binary())]
+            own = [pa.array(bucket_of(doc, sub, n_docs), pa.int32()), batch.column(0).cast(pa.int64()), pa.array(sub.view(np.int64)), batch.column(1).is_null(), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(own + batch.columns[2:], names=["bucket", "doc_id", "sub", "missing", "z", *(f.name for f in rest)])
 
     return docs.mapInArrow(squeeze, StructType([*StructType.fromDDL("bucket int, doc_id bigint, sub bigint, missing boolean, z binary"), *rest]))
@@ -272,28 +267,33 @@ def texts(docs: DataFrame, n_docs: int) -> DataFrame:
 
 def unsqueezed(left: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     z = zstandard.ZstdDecompressor()
-    return ids(left["doc_id"]), left["sub"].to_numpy().astype(np.uint32), pa.array([z.decompress(x.as_py()) for x in left["z"]], pa.large_binary())
+    return ids(left["doc_id"]), left["sub"].to_numpy().view(np.uint64), pa.array([z.decompress(x.as_py()) for x in left["z"]], pa.large_binary())
+
+
+def by_bucket(left: DataFrame, right: DataFrame, parts: int):
+    """Both sides' rows of each bucket, one bucket in memory at a time."""
+    return left.repartition(parts, "bucket").groupBy("bucket").cogroup(right.repartition(parts, "bucket").groupBy("bucket"))
 
 
-def with_open(docs_z: DataFrame, found: DataFrame, cut: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
-    """cut(column of texts, doc, sub, open contexts as (row, start, windows, anchor)) over the documents of each bucket that have open contexts."""
+def with_open(docs_z: DataFrame, found: DataFrame, cut: Callable, schema: pa.Schema, ddl: str, parts: int) -> DataFrame:
+    """cut(column of texts, doc, sub, open contexts as (row, start, windows, anchor, crowded)) over the documents of each bucket that have open contexts."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        doc, sub, start, n, anchor = unpack(right["rows"].to_pylist(), OPEN_TYPES)
-        have = {k: i for i, k in reversed(list(enumerate(zip(ids(left["doc_id"]).tolist(), left["sub"].to_pylist(), strict=True))))}
+        doc, sub, *columns = unpack(right["rows"].to_pylist(), OPEN_TYPES)
+        have = {k: i for i, k in reversed(list(enumerate(zip(ids(left["doc_id"]).tolist(), left["sub"].to_numpy().view(np.uint64).tolist(), strict=True))))}
         row = np.array([have[k] for k in zip(doc.tolist(), sub.tolist(), strict=True)], np.int64)
         kept, local = np.unique(row, return_inverse=True)
         d, s, column = unsqueezed(left.take(pa.array(kept)))
-        return pa.Table.from_batches(cut(column, d, s, local, start.astype(np.int64), n.astype(np.int64), anchor.astype(np.int64)), schema)
+        return pa.Table.from_batches(cut(column, d, s, local, *(c.astype(np.int64) for c in columns)), schema)
 
-    opened = found.filter(F.col("kind") == OPEN).select("bucket", "rows")
-    return docs_z.groupBy("bucket").cogroup(opened.groupBy("bucket")).applyInArrow(both, ddl)
+    return by_bucket(docs_z, found.filter(F.col("kind") == OPEN).select("bucket", "rows"), parts).applyInArrow(both, ddl)
 
 
-def close(classes: DataFrame, window: int, by_doc: bool, n_docs: int) -> DataFrame:
+def close(classes: DataFrame, window: int, by_doc: bool, shape: tuple[int, int]) -> DataFrame:
     """Windows that tasks found to be the first of their string (CLASS), compared over all tasks; DONE rows pass through."""
+    parts, n_docs = shape
 
     def last(batches):
         blobs = []
@@ -311,7 +311,7 @@ def close(classes: DataFrame, window: int, by_doc: bool, n_docs: int) -> DataFra
             if out := packed_spans(*runs(doc[pick], sub[pick], start[pick].astype(np.int64), window), n_docs):
                 yield _rows(out)
 
-    return classes.repartition("bucket").mapInArrow(last, PACKED)
+    return classes.repartition(parts, "bucket").mapInArrow(last, PACKED)
 
 
 def runs(doc, sub, start, window: int) -> list[np.ndarray]:
@@ -326,14 +326,14 @@ def runs(doc, sub, start, window: int) -> list[np.ndarray]:
 
 
 def packed_spans(doc, sub, start, end, n_docs: int) -> list[tuple[int, int, bytes]]:
-    return [(b, DONE, r) for b, r in split_by(bucket_of(doc, n_docs), _typed([doc, sub, start, end], SPAN_TYPES))]
+    return [(b, DONE, r) for b, r in split_by(bucket_of(doc, sub, n_docs), _typed([doc, sub, start, end], SPAN_TYPES))]
 
 
 def packed_classes(low, high, doc, sub, start, n: int) -> list[tuple[int, int, bytes]]:
     return [(b, CLASS, r) for b, r in split_by((low % np.uint64(n)).astype(np.int64), _typed([low, high, doc, sub, start], CLASS_TYPES))]
 
 
-def finish(docs_z: DataFrame, spans: DataFrame, row: Callable) -> DataFrame:
+def finish(docs_z: DataFrame, spans: DataFrame, row: Callable, parts: int) -> DataFrame:
     """For every document: doc_id, n_units, the union of its spans, and what is kept; row(text as bytes, starts, ends) gives n_units and kept."""
     types = {"n_units": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
 
@@ -353,4 +353,4 @@ def finish(docs_z: DataFrame, spans: DataFrame, row: Callable) -> DataFrame:
         return pa.table({"doc_id": left["doc_id"].combine_chunks()} | {name: pa.array([r[k] for r in result], kind) for k, (name, kind) in enumerate(types.items())})
 
     spans = spans.filter(F.col("kind") == DONE).select("bucket", "rows")
-    return docs_z.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(both, "doc_id bigint, n_units bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return by_bucket(docs_z, spans, parts).applyInArrow(both, "doc_id bigint, n_units bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")

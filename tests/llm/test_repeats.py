@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assetlens.llm import repeats as R
 from assetlens.llm.seed_extend import op7_seed_extend, repeated_word_spans
-from assetlens.llm.suffix_dedup import op10_suffix_dedup, repeated_byte_spans
+from assetlens.llm.suffix_dedup import multikey_order, op10_suffix_dedup, repeated_byte_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -104,7 +104,7 @@ def test_long_texts_in_parts(spark, monkeypatch):
     monkeypatch.setattr(R, "CHUNK", 300)
     r = random.Random(9)
     texts = ["".join(r.choice("abc") for _ in range(2000)), "x" * 50, "".join(r.choice("abc") for _ in range(290))]
-    row, start, n, anchor, seeds, ctx = R.contexts(R.Bytes(pa.array(texts)), 60, 16)
+    row, start, n, anchor, seeds = R.contexts(R.Bytes(pa.array(texts)), 60, 16)
     seen = {(int(d), int(p) + i) for d, p, k in zip(row, start, n, strict=True) for i in range(k)}
     assert seen == {(d, p) for d, t in enumerate(texts) for p in range(len(t) - 59)}
     assert (np.asarray(n) > 0).all()
@@ -122,3 +122,42 @@ def test_queries(spark, sf):
     assert got == [(d, n, g, digest(k)) for d, n, g, k in brute_words(docs, 50)]
     got = sorted(tuple(r) for r in op10_suffix_dedup(spark, sf).collect())
     assert got == [(d, n, g, s, digest(k)) for d, n, g, s, k in brute_bytes(docs, 100)]
+
+
+def test_multikey_order():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n, depth, letters in ((0, 2, 3), (1, 2, 3), (500, 3, 2), (3000, 4, 5), (400, 2, 2**60)):
+        words, part = r.integers(0, letters, (n, depth)).astype(np.uint64), r.integers(0, 3, n)
+        order, group = multikey_order(words, part)
+        rows = [(int(part[k]), *words[k].tolist()) for k in order]
+        assert rows == sorted(rows) and sorted(order.tolist()) == list(range(n))
+        assert all((group[i] == group[i - 1]) == (rows[i] == rows[i - 1]) for i in range(1, n))
+
+
+def test_crowded_seeds_meet_by_extension(spark, monkeypatch):
+    monkeypatch.setattr(R, "HOT", 2)
+    monkeypatch.setattr(R, "CROWD", 3)
+    for seed in (5, 6):
+        docs = corpus(seed)
+        got = repeated_word_spans(frame(spark, docs), window=20).collect()
+        assert sorted((r.doc_id, r.n_units, sum(s["end"] - s["start"] for s in r.spans), bytes(r.kept).decode()) for r in got) == brute_words(docs, 20)
+
+
+def test_find_decides_no_repeat(spark):
+    docs = frame(spark, corpus(7)).select("doc_id", "text")
+    for units, window, by_doc in ((R.Words, 20, True), (R.Bytes, 50, False)):
+        kinds = {r.kind for r in R.find(docs, units, window, 16, by_doc, (4, 32)).select("kind").collect()}
+        assert kinds == {R.OPEN}
+
+
+def test_ids_that_are_all_null_or_equal(spark):
+    docs = [(i, t) for i, (_, t) in enumerate(corpus(8, 40))]
+    got = repeated_word_spans(frame(spark, [(None, t) for _, t in docs]), window=20).collect()
+    assert all(not r.spans for r in got) and len(got) == len(docs)
+    got = repeated_byte_spans(frame(spark, [(4, t) for _, t in docs]), length=50).collect()
+    want = brute_bytes(docs, 50)
+    # which of two texts of one id is earlier is up to a hash
+    assert len(got) == len(docs) and {r.doc_id for r in got} == {4} and any(r.spans for r in got)
+    assert sum(r.n_units for r in got) == sum(w[1] for w in want)
