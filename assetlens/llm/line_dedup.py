@@ -2,13 +2,13 @@
 
 Lines (between line feeds, white space at their ends aside) that an earlier line equals, or differs from by one edit (a
 character inserted, deleted or replaced), are removed; earlier is by doc_id, then by line. Lines are judged on the
-input, not on what is left, so the earliest line of a group always stays. Lines of white space stay and match nothing;
-lines below ``near_chars`` code points match equal lines only.
+input, not on what is left, so the earliest line of a group always stays. Lines of white space stay and match nothing.
+The bound is one edit for lines of every length.
 
 Two lines are one edit apart where a deletion variant of one equals the other, or where variants of both, with the same
 place deleted, are equal. So variants go out as hashed keys (one kind with the place, one without), equal ones meet, and
 only the earliest line of a key has to be remembered: no pairs are listed. A removed line's partner is then verified by
-edit distance. Variants are sent only for lines that can have a partner: of two lines one edit apart, either the first
+edit distance. Keys are sums over characters, so that all variants of a line of L characters take time in L. Variants are sent only for lines that can have a partner: of two lines one edit apart, either the first
 or the last half is equal (halves of the shorter one), and a 64-bit parity of characters differs in two bits at most.
 That check loses no pair.
 
@@ -19,26 +19,40 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StructType
 
 from assetlens.llm import repeats as R
-from assetlens.llm.common import checkpoint, partitions, split_by, table, unpack
+from assetlens.llm.common import checkpoint, layout, mix, split_by, table, unpack
 
 SPACE = " \t\n\v\f\r"
 #: Lines of one half that a task compares one by one before it lets all of them pass; and that it sends of one half.
 COMPARED, HOT = 64, 16
 LINE, HALF = 4, 5
-LINE_TYPES = ["<u8", "<u8", "<i8", "<u4", "<u4"]  # line (128 bits), doc, sub, number
-HALF_TYPES = ["<u8", "<u8", "<u8", "<i8", "<u4", "<u4"]  # half, line, parity, doc, sub, number
-PLACE_TYPES = ["<i8", "<u4", "<u4"]
-VARIANT_TYPES = ["<u8", "<u8", "u1", "<i8", "<u4", "<u4"]  # variant (128 bits), role, doc, sub, number
+LINE_TYPES = ["<u8", "<u8", "<i8", "<u8", "<u4"]  # line (128 bits), doc, sub, number
+HALF_TYPES = ["<u8", "<u8", "<u8", "<i8", "<u8", "<u4"]  # half, line, parity, doc, sub, number
+PLACE_TYPES = ["<i8", "<u8", "<u4"]
+VARIANT_TYPES = ["<u8", "<u8", "u1", "<i8", "<u8", "<u4"]  # variant (128 bits), role, doc, sub, number
+VARIANT_BYTES = sum(np.dtype(t).itemsize for t in VARIANT_TYPES)
+#: Bytes of variants that meet at once.
+MEET_BYTES = 16 << 20
 #: Roles below a variant: lines with this place deleted; whole lines; lines with any place deleted.
 SAME_PLACE, WHOLE, SHORTER = 0, 1, 2
+#: Characters whose variants are made at once.
+AT_ONCE = 1 << 16
+_random = np.random.default_rng(20240301)
+_SALTS = _random.integers(0, 2**64, 2, dtype=np.uint64)
+_BASES = [int(x) * 2 + 1 for x in _random.integers(2**61, 2**62, 2, dtype=np.uint64)]
+_INVERSES = [np.uint64(pow(b, -1, 2**64)) for b in _BASES]
+_POWERS = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(AT_ONCE, b, np.uint64)]) for b in _BASES]
 
 
 def parity(line: str) -> int:
@@ -57,21 +71,50 @@ def halves(line: str) -> list[int]:
     return out
 
 
-def variants(line: str) -> tuple[list[int], list[int], list[int]]:
-    """Keys (low, high) and roles of all that the line sends: itself, and each deletion with and without its place."""
-    low, high, role = [], [], []
-    whole = line.encode()
-    for h in (xxhash.xxh3_128_intdigest(whole, 1),):
-        low.append(h & (2**64 - 1))
-        high.append(h >> 64)
-        role.append(WHOLE)
-    for i in range(len(line)):
-        v = (line[:i] + line[i + 1 :]).encode()
-        for h, r in ((xxhash.xxh3_128_intdigest(v, 1), SHORTER), (xxhash.xxh3_128_intdigest(v, 2 + i), SAME_PLACE)):
-            low.append(h & (2**64 - 1))
-            high.append(h >> 64)
-            role.append(r)
-    return low, high, role
+def _sized(h: np.ndarray, length) -> np.ndarray:
+    return mix(h + np.asarray(length).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _deletions(codes: np.ndarray, which: int, before, total, length, first: int) -> np.ndarray:
+    """Keys of the strings without each of codes, which stand at first, ...; before, total: sums of what the line has before them and in all."""
+    own = mix(codes ^ _SALTS[which]) * _POWERS[which][: len(codes)] * np.uint64(pow(_BASES[which], first, 2**64))
+    upto = np.cumsum(own) + before
+    return _sized(upto - own + (total - upto) * _INVERSES[which], length - 1)
+
+
+def _codes(line: str) -> np.ndarray:
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def variants(line: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys (low, high) and roles of all that the line sends: itself, and each deletion with and without its place; in parts."""
+    codes, parts = _codes(line), range(0, len(line), AT_ONCE)
+    with np.errstate(over="ignore"):
+        sums = [[(mix(codes[a : a + AT_ONCE] ^ _SALTS[w]) * _POWERS[w][: len(codes[a : a + AT_ONCE])]).sum() * np.uint64(pow(_BASES[w], a, 2**64)) for a in parts] for w in (0, 1)]
+        total = [np.add.reduce(np.array(x, np.uint64)) for x in sums]
+        yield *(_sized(np.array([t]), len(line)) for t in total), np.array([WHOLE], np.uint8)
+        before = [np.uint64(0), np.uint64(0)]
+        for k, a in enumerate(parts):
+            some = codes[a : a + AT_ONCE]
+            shorter = [_deletions(some, w, before[w], total[w], np.uint64(len(line)), a) for w in (0, 1)]
+            place = mix(np.arange(a + 1, a + len(some) + 1, dtype=np.uint64))
+            same = [mix(h ^ place) for h in shorter]
+            yield *(np.r_[x, y] for x, y in zip(shorter, same, strict=True)), np.repeat(np.array([SHORTER, SAME_PLACE], np.uint8), len(some))
+            before = [x + sums[w][k] for w, x in enumerate(before)]
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether the strings are exactly one edit apart, in time of their length."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    x, y = _codes(a), _codes(b)
+    differ = np.flatnonzero(x != y[: len(x)])
+    if len(a) == len(b):
+        return len(differ) == 1
+    k = int(differ[0]) if len(differ) else len(x)
+    return bool((x[k:] == y[k + 1 :]).all())
 
 
 def _passing(half, line, sig) -> np.ndarray:
@@ -94,7 +137,7 @@ def _passing(half, line, sig) -> np.ndarray:
 
 
 def _places(doc, sub, number, kind: int, n: int) -> list[tuple[int, int, bytes]]:
-    return [(b, kind, r) for b, r in split_by(R.bucket_of(doc, n), R._typed([doc, sub, number], PLACE_TYPES))]
+    return [(b, kind, r) for b, r in split_by(R.bucket_of(doc, sub, n), R._typed([doc, sub, number], PLACE_TYPES))]
 
 
 def _sort_halves(half, line, sig, doc, sub, number) -> list[np.ndarray]:
@@ -105,8 +148,9 @@ def _sort_halves(half, line, sig, doc, sub, number) -> list[np.ndarray]:
     return [c[first] for c in columns]
 
 
-def find(docs: DataFrame, near_chars: int, n: int) -> DataFrame:
+def find(docs: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """Packed rows, by document: lines that equal an earlier one (DONE), and first lines that can have a near one (OPEN)."""
+    parts, n = shape
 
     def scan(batches):
         for batch in batches:
@@ -117,9 +161,8 @@ def find(docs: DataFrame, near_chars: int, n: int) -> DataFrame:
                     if line := line.strip(SPACE):
                         h = xxhash.xxh3_128_intdigest(line.encode(), 1)
                         whole.append((h & (2**64 - 1), h >> 64, i, k))
-                        if len(line) >= near_chars:
-                            sig = parity(line)
-                            half += [(x, h & (2**64 - 1), sig, i, k) for x in halves(line)]
+                        sig = parity(line)
+                        half += [(x, h & (2**64 - 1), sig, i, k) for x in halves(line)]
             out = []
             if whole:
                 low, high, i, k = (np.array(c, t) for c, t in zip(zip(*whole, strict=True), ("u8", "u8", "i8", "u4"), strict=True))
@@ -158,11 +201,12 @@ def find(docs: DataFrame, near_chars: int, n: int) -> DataFrame:
         if out:
             yield R._rows(out)
 
-    return docs.mapInArrow(scan, R.PACKED).repartition("bucket").mapInArrow(settle, R.PACKED)
+    return docs.mapInArrow(scan, R.PACKED).repartition(parts, "bucket").mapInArrow(settle, R.PACKED)
 
 
-def near_lines(docs_z: DataFrame, found: DataFrame, n: int) -> DataFrame:
+def near_lines(docs_z: DataFrame, found: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """Packed DONE rows of lines that an earlier line of another text is one edit away from."""
+    parts, n = shape
     opened = found.filter(F.col("kind") == R.OPEN).select("bucket", "rows")
     schema = pa.schema([("doc", pa.int64()), ("sub", pa.int64()), ("number", pa.int64()), ("line", pa.string())])
 
@@ -177,32 +221,37 @@ def near_lines(docs_z: DataFrame, found: DataFrame, n: int) -> DataFrame:
         for d, s, k in places:
             if (d, s) not in split:
                 split = {(d, s): texts[d, s].as_py().decode().split("\n")}
-            rows.append((d, s, k, split[d, s][k].strip(SPACE)))
+            rows.append((d, s - (s >> 63 << 64), k, split[d, s][k].strip(SPACE)))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    lines = checkpoint(docs_z.groupBy("bucket").cogroup(opened.groupBy("bucket")).applyInArrow(cut, "doc bigint, sub bigint, number bigint, line string"))
+    lines = checkpoint(R.by_bucket(docs_z, opened, parts).applyInArrow(cut, "doc bigint, sub bigint, number bigint, line string"))
+    size = lines.agg(F.sum(2 * F.length("line") + 1)).first()[0] or 0
+    buckets = max(parts, -(-size * VARIANT_BYTES // MEET_BYTES))
 
     def send(batches):
         for batch in batches:
             doc, sub, number = (batch.column(i).to_numpy() for i in range(3))
-            made, rows = [], 0
+            made: list[tuple] = []
+            rows = 0
             for i, line in enumerate(batch.column(3).to_pylist()):
-                made.append((i, *variants(line)))
-                rows += len(made[-1][1])
-                if rows > 1 << 18 or i == batch.num_rows - 1:
-                    at = np.repeat([m[0] for m in made], [len(m[1]) for m in made])
-                    low, high = (np.array([x for m in made for x in m[j]], np.uint64) for j in (1, 2))
-                    role = np.array([x for m in made for x in m[3]], np.uint8)
-                    packed = split_by((low % np.uint64(n)).astype(np.int64), R._typed([low, high, role, doc[at], sub[at], number[at]], VARIANT_TYPES))
-                    yield R._rows([(b, R.CLASS, r) for b, r in packed])
-                    made, rows = [], 0
+                for low, high, role in variants(line):
+                    made.append((np.full(len(low), i), low, high, role))
+                    rows += len(low)
+                    if rows > 1 << 18:
+                        yield sent(made, doc, sub, number)
+                        made, rows = [], 0
+            if made:
+                yield sent(made, doc, sub, number)
+
+    def sent(made, doc, sub, number) -> pa.RecordBatch:
+        at, low, high, role = (np.concatenate(c) for c in zip(*made, strict=True))
+        packed = split_by((low % np.uint64(buckets)).astype(np.int64), R._typed([low, high, role, doc[at], sub[at].view(np.uint64), number[at]], VARIANT_TYPES))
+        return R._rows([(b, R.CLASS, r) for b, r in packed])
 
     pairs_schema = pa.schema([("doc", pa.int64()), ("sub", pa.int64()), ("number", pa.int64()), ("to_doc", pa.int64()), ("to_sub", pa.int64()), ("to_number", pa.int64())])
 
-    def meet(batches):
-        low, high, role, doc, sub, number = unpack([x for b in batches for x in b.column(2).to_pylist()], VARIANT_TYPES)
-        if not len(low):
-            return
+    def meet(rows: pa.Table) -> pa.Table:
+        low, high, role, doc, sub, number = unpack(rows["rows"].to_pylist(), VARIANT_TYPES)
         order = np.lexsort((number, sub, doc, role, high, low))
         low, high, role, doc, sub, number = (c[order] for c in (low, high, role, doc, sub, number))
         new = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
@@ -221,31 +270,35 @@ def near_lines(docs_z: DataFrame, found: DataFrame, n: int) -> DataFrame:
             later = (doc[to] < doc[rows]) | (doc[to] == doc[rows]) & ((sub[to] < sub[rows]) | (sub[to] == sub[rows]) & (number[to] < number[rows]))
             out.append((rows[later], to[later]))
         a, b = (np.concatenate(c) for c in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(c[i].astype(np.int64)) for i in (a, b) for c in (doc, sub, number)], schema=pairs_schema)
+        return pa.Table.from_arrays([pa.array(c[i].view(np.int64) if c is sub else c[i].astype(np.int64)) for i in (a, b) for c in (doc, sub, number)], schema=pairs_schema)
+
+    def near(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in parts:
+            yield pd.Series([one_edit(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    pairs = lines.mapInArrow(send, R.PACKED).repartition("bucket").mapInArrow(meet, "doc bigint, sub bigint, number bigint, to_doc bigint, to_sub bigint, to_number bigint")
+    pairs = lines.mapInArrow(send, R.PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "doc bigint, sub bigint, number bigint, to_doc bigint, to_sub bigint, to_number bigint")
     pairs = pairs.groupBy("doc", "sub", "number").agg(F.min(F.struct("to_doc", "to_sub", "to_number")).alias("to")).select("doc", "sub", "number", "to.*")
     other = lines.select(F.col("doc").alias("to_doc"), F.col("sub").alias("to_sub"), F.col("number").alias("to_number"), F.col("line").alias("to_line"))
-    near = pairs.join(lines, ["doc", "sub", "number"]).join(other, ["to_doc", "to_sub", "to_number"]).filter(F.levenshtein("line", "to_line", 1) == 1)
+    verified = pairs.join(lines, ["doc", "sub", "number"]).join(other, ["to_doc", "to_sub", "to_number"]).filter(pandas_udf(near, "boolean")("line", "to_line"))
 
     def place(batches):
         for batch in batches:
             if batch.num_rows:
-                yield R._rows(_places(*(batch.column(i).to_numpy() for i in range(3)), R.DONE, n))
+                yield R._rows(_places(*(batch.column(i).to_numpy().view(t) for i, t in enumerate((np.int64, np.uint64, np.int64))), R.DONE, n))
 
-    return near.select("doc", "sub", "number").mapInArrow(place, R.PACKED)
+    return verified.select("doc", "sub", "number").mapInArrow(place, R.PACKED)
 
 
-def dedup_lines(docs: DataFrame, near_chars: int = 12, carry: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, kept (the other lines, as they were) of every row; a null text stays null.
 
     carry: columns that go along, as fields of a column ``row``."""
-    n = 2 * partitions(docs.sparkSession)
+    shape = parts, n = layout(docs)
     along = [F.struct(*map(docs.__getitem__, carry)).alias("row")] if carry else []
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *along)
     narrow = docs.select("doc_id", "text")
-    found = checkpoint(find(narrow, near_chars, n))
-    gone = found.unionByName(near_lines(R.texts(narrow, n), found, n)).filter(F.col("kind") == R.DONE).select("bucket", "rows")
+    found = checkpoint(find(narrow, shape))
+    gone = found.unionByName(near_lines(R.texts(narrow, n), found, shape)).filter(F.col("kind") == R.DONE).select("bucket", "rows")
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         doc, sub, column = R.unsqueezed(left)
@@ -261,14 +314,14 @@ def dedup_lines(docs: DataFrame, near_chars: int = 12, carry: list[str] | None =
 
     whole = R.texts(docs, n)
     schema = StructType([*StructType.fromDDL("doc_id bigint, n_lines bigint, n_removed bigint, kept string"), *whole.schema.fields[5:]])
-    return whole.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(both, schema)
+    return R.by_bucket(whole, gone, parts).applyInArrow(both, schema)
 
 
-def without_repeated_lines(docs: DataFrame, near_chars: int = 12) -> DataFrame:
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with their columns, texts without the lines that repeat; n_chars, where there is one, counts what is left.
 
     A document of which all lines go stays, with an empty text."""
-    done = dedup_lines(docs, near_chars, carry=docs.columns)
+    done = dedup_lines(docs, carry=docs.columns)
     new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)

@@ -15,7 +15,7 @@ def one_edit(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def brute(docs, near_chars=12):
+def brute(docs):
     lines = [(d, k, x) for d, t in sorted(docs, key=lambda r: r[0]) if t is not None for k, x in enumerate(t.split("\n"))]
     gone, first = set(), {}
     for d, k, x in lines:
@@ -25,7 +25,7 @@ def brute(docs, near_chars=12):
         if s in first:
             gone.add((d, k))
             continue
-        if len(s) >= near_chars and any(len(y) >= near_chars and one_edit(s, y) for y in first):
+        if any(one_edit(s, y) for y in first):
             gone.add((d, k))
         first[s] = (d, k)
     return sorted((d, 0 if t is None else t.count("\n") + 1, sum((d, k) in gone for k in range((t or "").count("\n") + 1)), "\n".join(x for k, x in enumerate((t or "").split("\n")) if (d, k) not in gone)) for d, t in docs)
@@ -85,3 +85,38 @@ def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = [(d, n, g, hashlib.sha256(k.encode()).hexdigest()) for d, n, g, k in brute(docs)]
     assert sorted(tuple(r) for r in L.op2_line_dedup(spark, sf).collect()) == want
+
+
+def test_variants_meet_where_lines_are_one_edit_apart():
+    r = random.Random(7)
+    for _ in range(300):
+        a = "".join(r.choice("abé😀") for _ in range(r.randint(1, 12)))
+        k = r.randrange(len(a))
+        b = r.choice([a[:k] + "x" + a[k:], a[:k] + "x" + a[k + 1 :], a[:k] + "xy" + a[k + 1 :], a[:k] + a[k + 1 :]])
+        sent = [{(int(x), int(y), int(z)) for part in L.variants(t) for x, y, z in zip(*part, strict=True)} for t in (a, b)]
+        roles = {L.WHOLE: L.SHORTER, L.SHORTER: L.WHOLE, L.SAME_PLACE: L.SAME_PLACE}
+        meet = any((x, y, roles[z]) in sent[1] for x, y, z in sent[0])
+        assert meet == L.one_edit(a, b) == (a != b and one_edit(a, b))
+
+
+def test_long_lines_take_time_in_their_length(monkeypatch):
+    import time
+
+    r = random.Random(8)
+    line = "".join(r.choice("abcdefgh ") for _ in range(10_000)) * 1000  # 10 MB
+    began = time.time()
+    assert sum(len(low) for low, _, _ in L.variants(line)) == 2 * len(line) + 1
+    assert L.one_edit(line, line[:5_000_000] + line[5_000_001:]) and not L.one_edit(line, line[:-2])
+    assert time.time() - began < 60
+    short = line[:1000]
+    whole = [{(int(x), int(z)) for part in L.variants(short) for x, _, z in zip(*part, strict=True)}]
+    monkeypatch.setattr(L, "AT_ONCE", 64)
+    assert whole[0] == {(int(x), int(z)) for part in L.variants(short) for x, _, z in zip(*part, strict=True)}
+
+
+def test_long_lines(spark):
+    r = random.Random(9)
+    line = "".join(r.choice("abcdefgh ") for _ in range(200_000)).strip()
+    docs = [(1, line), (2, line[:70_000] + "X" + line[70_001:]), (3, line[:-1]), (4, line + "\nshort\nshort!"), (5, "a\nb\nab")]
+    got = {r.doc_id: r.n_removed for r in L.dedup_lines(frame(spark, docs)).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 2, 5: 2}
