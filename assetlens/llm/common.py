@@ -37,6 +37,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key with more than one of so many rows joins by broadcast (so many keys at most), as its rows would meet in one task.
+SPREAD = 1000
+
+
+def spread_join(rows: DataFrame, one_each: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the one row that one_each has for their key. one_each.n tells how many rows have the key, total how many there are (at least)."""
+    large = F.col("n") * SPREAD > total
+    hot = F.broadcast(one_each.filter(large).drop("n"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(one_each.filter(~large).drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlens.llm.common import checkpoint
+from assetlens.llm.common import checkpoint, spread_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over edges (a, b) with a > b: neighbours move to the smallest node that their node sees."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One step over edges (a, b) with a > b: neighbours move to the smallest node that their node sees. Nodes with very many neighbours are spread."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("least"))
-    least = least.select("a", F.least("a", "least").alias("least"))
-    near = both.join(least, "a")
+    least = both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
+    least = least.select("a", F.least("a", "least").alias("least"), "n")
+    near = spread_join(both, least, "a", total)
     if large:
         moved = near.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
@@ -25,11 +25,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links (a, b), any order, to (node, root): the smallest node reachable, for every node with a link to another one."""
     edges = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    last = None
-    while True:
-        edges = checkpoint(_star(_star(edges, large=True), large=False))
-        # equal edge sets have equal sums; a star forest maps to itself
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == last:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        last = state
+    edges = checkpoint(edges)
+    # equal edge sets have equal sums; a star forest maps to itself
+    state = lambda: tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    last = state()
+    while last[0]:
+        edges = checkpoint(_star(_star(edges, True, 2 * last[0]), False, 2 * last[0]))
+        now = state()
+        if now == last:
+            break
+        last = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

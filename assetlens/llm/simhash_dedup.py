@@ -7,11 +7,14 @@ two fingerprints within the bound then differ by at most t_i in some part i. Dyn
 fingerprints.
 
 Distinct fingerprints are filed under their value of every part that counts, and probe the values within t_i of theirs;
-of two fingerprints only the one whose first differing bit is set probes. Values that many fingerprints share are split
-further by the other bits, cut into bound + 1 pieces of which one must be equal. Candidates are verified below each key:
-those at most ``within`` bits apart link (the bound itself, unless a larger number is given; then pairs between the two
-link where they meet). Of the links found a spanning forest goes on, so that a group of n fingerprints sends n rows and
-not n * n; and where one fingerprint of a key links to most others, only the rest is compared any further.
+of two fingerprints only the one whose first differing bit is set probes. Values that many fingerprints share, and keys
+below which more than ``RUN`` rows meet, are split further by pieces of the bits, bound + 1 of them, of which one must be
+equal. Candidates are verified below each key: those at most ``within`` bits apart link (the bound itself, unless a
+larger number is given; then pairs between the two link where they meet). Of the links found a spanning forest of the
+nearest goes on, so that a group of n fingerprints sends n rows and not n * n; and where one fingerprint of a long key
+links to most others, only the rest is compared any further.
+
+``one_of_each`` takes links for candidates only: a link counts if the texts' shingle sets have the similarity.
 
 Nulls and texts without words have the fingerprint 0 and link like any other. Rows that repeat (also of one doc_id)
 get the same fingerprint and component. A null doc_id is never a component's name unless no other is there (null
@@ -30,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlens.llm.common import NULL_ID, checkpoint, mix, partitions, split_by, table, unpack, utf8
+from assetlens.llm.common import NULL_ID, checkpoint, mix, partitions, split_by, spread_join, table, unpack, utf8
 from assetlens.llm.components import components
 
 WORD = 64
 #: Runs of candidates at least this long are first compared with a few of their fingerprints.
 LONG_RUN, PIVOTS = 64, 4
+#: Runs of candidates longer than this are split further, so many times at most.
+RUN, LEVELS = 4096, 6
 #: Costs of a probe and of a candidate, in units of the same time.
 PROBE_COST, PAIR_COST = 40.0, 1.0
 #: At most this many (part, value) pairs are hot: those with more than 1/HOT_SHARE of the fingerprints.
@@ -201,31 +206,51 @@ def keys(words: list[np.ndarray], parts: list[tuple[list[int], int]], bound: int
                         yield mix(mix(mix(value) + np.uint64(i)) ^ mix(value_of(words, piece) * np.uint64(16 + bound) + np.uint64(k + 1))), radius > 0, sends & is_hot
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that keep the same nodes connected, one fewer than there are nodes in each component."""
+def forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of links (a, b) those of a spanning forest with the least sums of bits apart."""
     nodes, flat = np.unique(np.r_[a, b], return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[x], label[y])
-        before = label.copy()
-        np.minimum.at(label, label[x], least)
-        np.minimum.at(label, label[y], least)
-        np.minimum.at(label, x, least)
-        np.minimum.at(label, y, least)
-        while (label[label] != label).any():
-            label = label[label]
-        if (label == before).all():
-            break
-    other = label != np.arange(len(nodes))
-    return nodes[other], nodes[label[other]]
+    order = np.argsort(apart, kind="stable")
+    x, y = flat[: len(a)][order], flat[len(a) :][order]
+    label, chosen, alive = np.arange(len(nodes)), np.zeros(len(x), bool), np.arange(len(x))
+    while len(alive := alive[label[x[alive]] != label[y[alive]]]):
+        best = np.full(len(nodes), len(x))  # each tree's nearest link to another one
+        np.minimum.at(best, label[x[alive]], alive)
+        np.minimum.at(best, label[y[alive]], alive)
+        pick = np.unique(best[best < len(x)])
+        chosen[pick] = True
+        tree = np.arange(len(nodes))  # of trees, by number
+        u, v = label[x[pick]], label[y[pick]]
+        while True:
+            least = np.minimum(tree[u], tree[v])
+            before = tree.copy()
+            for at in (tree[u], tree[v], u, v):
+                np.minimum.at(tree, at, least)
+            while (tree[tree] != tree).any():
+                tree = tree[tree]
+            if (tree == before).all():
+                break
+        label = tree[label]
+    return nodes[x[chosen]], nodes[y[chosen]], apart[order][chosen]
+
+
+def majority(words: list[np.ndarray], rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """Of each run of rows, the fingerprint of the bits that most of them have."""
+    out = []
+    for w in words:
+        bits = np.unpackbits(w[rows].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out.append(np.packbits(2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) > lengths[:, None], axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64))
+    return out
 
 
-def links_below(key: np.ndarray, words: list[np.ndarray], within: int, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of one key, at least one of which is filed there, as a forest of names. A key's last bit is set in rows that probe.
+def links_below(key: np.ndarray, words: list[np.ndarray], within: int, at_once: int = 1 << 20, long_run: int | None = None, most: float = math.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b, bits apart) between rows of one key, at least one of which is filed there, as a forest of names; and the rows of runs
+    that are too long (more than ``most``) to be compared here. A key's last bit is set in rows that probe.
 
-    In a long run, rows near one of a few of its filed rows are linked to that one already; if they are most of the run, only the others
-    are compared: filed ones with all rows, probing ones with all filed rows. In other runs rows are compared with the next one, the one after that, and so on, all at once."""
+    In a long run, rows near one of a few of its filed rows (the one nearest to the run's majority of bits among them) are linked to that one already;
+    if they are most of the run, only the others are compared: filed ones with all rows, probing ones with all filed rows. In other runs
+    rows are compared with the next one, the one after that, and so on, all at once."""
+    long_run = LONG_RUN if long_run is None else long_run
+    whole = np.arange(len(key))
     order = np.argsort(key, kind="stable")
     key, words = key[order], [w[order] for w in words]
     filed = key & 1 == 0
@@ -235,64 +260,89 @@ def links_below(key: np.ndarray, words: list[np.ndarray], within: int, at_once:
     head, end, stop = np.repeat(heads, lengths), np.repeat(heads + lengths, lengths), np.repeat(heads + n_filed, lengths)
     names, found, held = name(words), [], 0
 
-    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def bits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         apart = np.zeros(len(i), np.uint16)
         for w in words:
             apart += np.bitwise_count(w[i] ^ w[j])
-        return (apart <= within) & (names[i] != names[j])
+        return apart
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (bits(i, j) <= within) & (names[i] != names[j])
 
     def compare(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal found, held
         for lo in range(0, len(i), at_once):
             a, b = i[lo : lo + at_once], j[lo : lo + at_once]
-            ok = near(a, b)
+            apart = bits(a, b)
+            ok = (apart <= within) & (names[a] != names[b])
             if ok.any():
-                found.append((names[a[ok]], names[b[ok]]))
+                found.append((names[a[ok]], names[b[ok]], apart[ok]))
                 held += int(ok.sum())
         if held > at_once:
             found = [forest(*(np.concatenate(z) for z in zip(*found, strict=True)))]
             held = len(found[0][0]) // 2
 
-    long = np.flatnonzero((lengths >= LONG_RUN) & (n_filed > 0))
+    long = np.flatnonzero((lengths >= long_run) & (n_filed > 0))
     by_core = np.zeros(len(key), bool)  # rows of runs that have a core
     core = np.zeros(len(key), bool)
     if len(long):
         rows = np.flatnonzero(np.repeat(np.isin(np.arange(len(heads)), long), lengths))
         starts = np.r_[0, np.cumsum(lengths[long])[:-1]]
-        most, best = np.full(len(long), -1), np.zeros(len(long), np.int64)
-        for k in range(PIVOTS):
-            pivot = heads[long] + n_filed[long] * k // PIVOTS
+        n_most, best = np.full(len(long), -1), np.zeros(len(long), np.int64)
+        centre = majority(words, rows, starts, lengths[long])
+        off = np.zeros(len(rows), np.int64)
+        for w, c in zip(words, centre, strict=True):
+            off += np.bitwise_count(w[rows] ^ np.repeat(c, lengths[long]))
+        off = np.where(filed[rows], off, 1 << 20) * len(rows) + np.arange(len(rows))
+        medoid = rows[np.minimum.reduceat(off, starts) % len(rows)]
+        for k in range(-1, PIVOTS):
+            pivot = medoid if k < 0 else heads[long] + n_filed[long] * k // PIVOTS
             n_near = np.add.reduceat(near(rows, np.repeat(pivot, lengths[long])), starts, dtype=np.int64)
-            better = n_near > most
-            most[better], best[better] = n_near[better], pivot[better]
-        chosen = 2 * most > lengths[long]
+            better = n_near > n_most
+            n_most[better], best[better] = n_near[better], pivot[better]
+        chosen = 2 * n_most > lengths[long]
         rows, pivots = rows[np.repeat(chosen, lengths[long])], np.repeat(best[chosen], lengths[long][chosen])
         by_core[rows] = True
         core[rows] = near(rows, pivots) | (rows == pivots)
         compare(rows, pivots)
+    # what is left to compare in a run: rows outside its core with all, or all with all
+    work = np.add.reduceat(~core, heads, dtype=np.int64) * lengths if len(heads) else lengths
+    too_long = np.repeat((lengths > most) & (work > most * most / 2), lengths)
+    by_core &= ~too_long
+    whole = whole[too_long]
     active, step = np.flatnonzero(by_core & ~core), 0
     last = np.where(filed, end, stop)  # only one side of a pair probes, so a filed row meets probing rows in the core nowhere else
     while len(active := active[head[active] + step < last[active]]):
         compare(active, head[active] + step)
         step += 1
-    active, step = np.flatnonzero(filed & ~by_core), 1
+    active, step = np.flatnonzero(filed & ~by_core & ~too_long), 1
     while len(active := active[active + step < end[active]]):
         compare(active, active + step)
         step += 1
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return forest(*(np.concatenate(z) for z in zip(*found, strict=True)))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint16), order[whole]
+    return *forest(*(np.concatenate(z) for z in zip(*found, strict=True))), order[whole]
+
+
+def split_keys(key: np.ndarray, words: list[np.ndarray], bound: int, level: int) -> Iterator[np.ndarray]:
+    """Further keys of rows below one key: it, with each of bound + 1 pieces of all bits, which every level cuts in its own way."""
+    n_bits = WORD * len(words)
+    turn = np.random.default_rng(level).permutation(n_bits).tolist()
+    for k in range(bound + 1):
+        piece = value_of(words, turn[k :: bound + 1][:WORD])
+        yield mix(mix(key) ^ mix(piece * np.uint64(2 * bound + 3) + np.uint64(k + 1)))
 
 
-def links(nodes: DataFrame, bound: int = 4, within: int | None = None, words: int = 1) -> DataFrame:
-    """nodes (fp, distinct, and bits where fingerprints have several words) to links (a, b) of fps, which connect all fingerprints within
+def links(nodes: DataFrame, bound: int = 4, within: int | None = None, words: int = 1, long_run: int | None = None) -> DataFrame:
+    """nodes (fp, distinct, and bits where fingerprints have several words) to links (a, b, apart) of fps, which connect all fingerprints within
     the bound of each other and none further than ``within`` (the bound, if not given) apart."""
+    spark = nodes.sparkSession
     bits = nodes.select("fp" if words == 1 else "bits")
     n, both = bit_statistics(bits, WORD * words)
     if n < 2:
-        return nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
+        return spark.createDataFrame([], "a bigint, b bigint, apart int")
     parts = plan(n, both, bound)
-    n_buckets = 8 * partitions(nodes.sparkSession)
+    n_buckets = 8 * partitions(spark)
 
     def values(batches):
         for batch in batches:
@@ -301,10 +351,15 @@ def links(nodes: DataFrame, bound: int = 4, within: int | None = None, words: in
                 v, k = np.unique(value_of(own, part), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(v.view(np.int64)), pa.array(k.astype(np.int64))], names=["part", "value", "n"])
 
-    # no more than HOT_SHARE values of a part can have more than n / HOT_SHARE fingerprints
+    # no more than HOT_SHARE values of a part can have more than n / HOT_SHARE fingerprints; runs below other values are split where they meet
     crowded = bits.mapInArrow(values, "part int, value bigint, n bigint").groupBy("part", "value").agg(F.sum("n").alias("n")).filter(F.col("n") > max(HOT_LEAST, n // HOT_SHARE)).collect()
     hot = [np.sort(np.array([r.value for r in crowded if r.part == i], np.int64).view(np.uint64)) for i in range(len(parts))]
 
+    def packed(key: np.ndarray, probes: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, bytes]]:
+        # keys that only share their half bring more candidates together, all of which are verified
+        half = ((key >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)) | probes
+        return split_by((key % np.uint64(n_buckets)).astype(np.int64), [half, *own])
+
     def send(batches):
         for batch in batches:
             own = words_of(batch.column(0))
@@ -313,54 +368,132 @@ def links(nodes: DataFrame, bound: int = 4, within: int | None = None, words: in
                 sent = [(k[m], np.flatnonzero(m).astype(np.int32), p) for k, p, m in keys(some, parts, bound, hot)]
                 key, at = np.concatenate([k for k, _, _ in sent]), np.concatenate([i for _, i, _ in sent])
                 probes = np.repeat(np.array([p for _, _, p in sent], np.uint32), [len(k) for k, _, _ in sent])
-                # keys that only share their half bring more candidates together, all of which are verified
-                half = ((key >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)) | probes
-                rows = split_by((key % np.uint64(n_buckets)).astype(np.int64), [half, *(w[at] for w in some)])
+                rows = packed(key, probes, [w[at] for w in some])
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "rows"])
 
-    def verify(batches):
-        key, *own = unpack([x for batch in batches for x in batch.column(1).to_pylist()], ["<u4"] + ["<u8"] * words)
-        if len(key):
-            a, b = links_below(key, own, bound if within is None else within)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    return bits.mapInArrow(send, "bucket int, rows binary").repartition("bucket").mapInArrow(verify, "a bigint, b bigint")
-
-
-def roots_of(fps: DataFrame, bound: int, within: int | None = None, words: int = 1) -> DataFrame:
-    """fp and component_id (smallest doc_id linked, over any number of links), from rows of doc_id, fp and, with several words, bits."""
-    bits = [F.first("bits").alias("bits")] if words > 1 else []
-    nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), *bits))
-    roots = components(links(nodes, bound, within, words))
-    of_node = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = of_node.groupBy("root").agg(F.min("first").alias("component_id"))
-    return of_node.join(least, "root").select("fp", "component_id")
+    found_schema = pa.schema([("bucket", pa.int32()), ("rows", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int32())])
+
+    def verify(level: int):
+        def each(batches):
+            key, *own = unpack([x for batch in batches for x in batch.column(1).to_pylist()], ["<u4"] + ["<u8"] * words)
+            if not len(key):
+                return
+            a, b, apart, left = links_below(key, own, bound if within is None else within, long_run=long_run, most=RUN if level < LEVELS else math.inf)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(apart.astype(np.int32))], schema=found_schema)
+            for lo in range(0, len(left), 1 << 13):
+                rows, mine = [], left[lo : lo + (1 << 13)]
+                some = [w[mine] for w in own]
+                for further in split_keys((key[mine] >> 1).astype(np.uint64), some, bound, level):
+                    rows += packed(further, key[mine] & np.uint32(1), some)
+                none = pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), none, none, pa.nulls(len(rows), pa.int32())], schema=found_schema)
+
+        return each
+
+    sent, out, level = bits.mapInArrow(send, "bucket int, rows binary"), None, 0
+    while True:
+        found = checkpoint(sent.repartition(n_buckets, "bucket").mapInArrow(verify(level), "bucket int, rows binary, a bigint, b bigint, apart int"))
+        some = found.filter(F.col("a").isNotNull()).select("a", "b", "apart")
+        out = some if out is None else out.unionByName(some)
+        sent = found.filter(F.col("rows").isNotNull()).select("bucket", "rows")
+        if level == LEVELS or sent.isEmpty():
+            return out
+        level += 1
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bound: int = 4) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id linked, over any number of links) of every row."""
     fps = checkpoint(fingerprints(docs, shingle))
-    return fps.join(roots_of(fps, bound), "fp").select("doc_id", "fp", "component_id")
+    # fp, first, n of distinct fingerprints; root of those that have links
+    nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    n_nodes, total = nodes.agg(F.count("*"), F.sum("n")).first()
+    roots = components(links(nodes, bound))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    of_node = checkpoint(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked")))
+    linked = of_node.filter("linked").select("fp", "first", F.col("n").alias("rows"), "root")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = spread_join(linked, least, "root", n_nodes).select("fp", "component_id", F.col("rows").alias("n"))
+    named = named.unionByName(of_node.filter(~F.col("linked")).select("fp", F.col("first").alias("component_id"), "n"))
+    return spread_join(fps, named, "fp", total or 0).select("doc_id", "fp", "component_id")
+
+
+def similar_texts(docs: DataFrame, shingle: int, similarity: float, words: int, bound: int, within: int) -> DataFrame:
+    """(hash, group) of texts (hash, text) that are linked to another one, over any number of links; of equal hashes any text.
+
+    Fingerprints give candidates. Their similarity is taken from the texts, nearest candidates first: each group's
+    nearest one, for as long as that joins most groups; then one for each two groups; then all that are left between two."""
+    fps = checkpoint(fingerprints(docs.select(F.col("hash").alias("doc_id"), "text"), shingle, words).groupBy("doc_id").agg(*(F.first(c).alias(c) for c in (["fp", "bits"] if words > 1 else ["fp"]))))
+    nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("hash"), *([F.first("bits").alias("bits")] if words > 1 else [])))
+    between = links(nodes, bound, within, words, long_run=RUN)
+    of = lambda side: nodes.select(F.col("fp").alias(side), F.col("hash").alias(f"{side}_text"))
+    between = between.join(of("a"), "a").join(of("b"), "b").select(F.col("a_text").alias("a"), F.col("b_text").alias("b"), "apart")
+    same = fps.join(nodes.select("fp", "hash"), "fp").filter(F.col("doc_id") != F.col("hash")).select(F.col("doc_id").alias("a"), F.col("hash").alias("b"), F.lit(0).alias("apart"))
+    edges = between.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    edges = checkpoint(edges.withColumn("of_a", F.col("a")).withColumn("of_b", F.col("b")))
+    needed = edges.select(F.col("a").alias("hash")).unionByName(edges.select(F.col("b").alias("hash"))).distinct()
+    texts = checkpoint(docs.select("hash", "text").join(needed, "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text")))
+    good = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    step = "group"
+    while not edges.isEmpty():
+        least = F.min(F.struct("apart", "a", "b")).alias("e")
+        if step == "group":
+            one = edges.select("apart", "a", "b", F.col("of_a").alias("g")).unionByName(edges.select("apart", "a", "b", F.col("of_b").alias("g"))).groupBy("g").agg(least).select("e.a", "e.b").distinct()
+        elif step == "pair":
+            one = edges.groupBy(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).agg(least).select("e.a", "e.b")
+        else:
+            one = edges.select("a", "b")
+        judged = checkpoint(alike(one, texts, shingle, similarity))
+        n, n_good = judged.agg(F.count("*"), F.count(F.when(F.col("alike"), 1))).first()
+        good = good.unionByName(judged.filter("alike").select("a", "b"))
+        if step == "all":
+            break
+        roots = components(good)
+        left = edges.join(judged, ["a", "b"], "left_anti")
+        for side in ("a", "b"):
+            left = left.drop(f"of_{side}").join(roots.select(F.col("node").alias(side), F.col("root").alias(f"of_{side}")), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+        edges = checkpoint(left.filter(F.col("of_a") != F.col("of_b")).select("a", "b", "apart", "of_a", "of_b"))
+        step = "group" if step == "group" and 2 * n_good >= n else "pair" if step == "group" else "all"
+    return components(good).select(F.col("node").alias("hash"), F.col("root").alias("group"))
+
 
+#: Pairs of one text that meet in a task.
+TOGETHER = 256
+
+
+def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a, b and alike: whether the similarity (Jaccard) of their sets of word shingles is at least so much."""
+
+    def with_text(rows: DataFrame, side: str) -> DataFrame:
+        # texts with many pairs go to several places
+        times = rows.groupBy(side).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("times"))
+        rows = rows.join(times, side).withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.col("times")).cast("int")).drop("times")
+        own = texts.select(F.col("hash").alias(side), F.col("text").alias(f"text_{side}")).join(times, side).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).drop("times")
+        return rows.join(own, [side, "salt"]).drop("salt")
+
+    def judge(batches):
+        for batch in batches:
+            left, right = ([set(shingle_hashes((t or "").encode(), shingle)) for t in batch.column(k).to_pylist()] for k in (2, 3))
+            shared = [len(x & y) for x, y in zip(left, right, strict=True)]
+            ok = [k >= similarity * (len(x) + len(y) - k) for k, x, y in zip(shared, left, right, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "alike"])
 
-def bits_apart(similarity: float, n_bits: int) -> int:
-    """How many bits texts of this similarity (Jaccard, of shingle sets of about equal size) are expected to differ by, rounded down."""
-    return int(n_bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    both = with_text(with_text(pairs, "a"), "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(judge, "a bigint, b bigint, alike boolean")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 2, bound: int = 15) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 2, bound: int = 17, within: int = 25) -> DataFrame:
     """docs with their columns, one row of each group of near-duplicates: the smallest doc_id's.
 
-    Texts link if their fingerprints, of several words, are no further apart than the similarity lets expect. Pairs within the bound
-    always meet; of those further apart, all but a few do (one part within its threshold is enough).
-    A null doc_id counts as larger than all others. Of rows with that doc_id one stays, by the hash of its text."""
+    Texts link if the similarity of their shingle sets is high enough, so nothing below it goes but over other links. Pairs
+    with fingerprints within the bound always come to be compared; of those further apart, up to ``within``, most do
+    (one part within its threshold is enough). A null doc_id counts as larger than all others. Of rows with that doc_id one
+    stays, by the hash of its text."""
     own = F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash")).alias("own")
-    fps = checkpoint(fingerprints(docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text"), shingle, words).groupBy("doc_id").agg(*(F.first(c).alias(c) for c in (["fp", "bits"] if words > 1 else ["fp"]))))
-    named = roots_of(fps, bound, bits_apart(similarity, WORD * words), words)  # component_id: the smallest hash of a text in the group
-    group = fps.join(named, "fp").select(F.col("doc_id").alias("hash"), F.col("component_id").alias("group"))
+    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("hash"), F.col("text").cast("string").alias("text"))
+    groups = similar_texts(texts, shingle, similarity, words, bound, within)
     # each task sends a row for each pair of an id and a text's hash, and a row for each group after the join
-    rows = docs.select(own).groupBy("own").agg(F.lit(1).alias("one")).select("own", F.col("own.hash").alias("hash"))
-    stays = rows.join(group, "hash").groupBy("group").agg(F.min("own").alias("own")).select("own.id", "own.hash")
+    rows = docs.select(own).groupBy("own").agg(F.lit(1).alias("one")).select("own", F.col("own.hash").alias("hash")).groupBy("hash").agg(F.min("own").alias("own"))
+    stays = rows.join(groups, "hash", "left").groupBy(F.coalesce("group", "hash").alias("group")).agg(F.min("own").alias("own")).select("own.id", "own.hash")
     keyed = docs.select(F.struct("*").alias("row"), own).select("row", "own.id", "own.hash")
     left = keyed.join(stays, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
     return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -65,7 +65,7 @@ def test_links_are_complete(spark, monkeypatch):
     for least in (4096, 3):
         monkeypatch.setattr(S, "HOT_LEAST", least)
         nodes = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp bigint")
-        links = {(x & (2**64 - 1), y & (2**64 - 1)) for x, y in S.links(nodes).collect()}
+        links = {(x & (2**64 - 1), y & (2**64 - 1)) for x, y, _ in S.links(nodes).collect()}
         assert all((x ^ y).bit_count() <= 4 for x, y in links if (x ^ y).bit_count() <= 4)
         label = {f: f for f in fps}
 
@@ -118,7 +118,7 @@ def test_wide_links_are_complete(spark):
     words = [np.array([f >> (64 * w) & (2**64 - 1) for f in sorted(fps)], np.uint64) for w in range(2)]
     names = dict(zip(sorted(fps), S.name(words).view(np.int64).tolist(), strict=True))
     nodes = spark.createDataFrame([(names[f], f.to_bytes(16, "little")) for f in names], "fp bigint, bits binary")
-    links = [tuple(x) for x in S.links(nodes, 15, 19, 2).collect()]
+    links = [(x.a, x.b) for x in S.links(nodes, 15, 19, 2).collect()]
     of = {n: f for f, n in names.items()}
     found = joined(links)
     loose = joined((names[x], names[y]) for x in fps for y in fps if x < y and (x ^ y).bit_count() <= 19)
@@ -135,7 +135,7 @@ def test_runs_with_a_core_lose_nothing():
         base = r.integers(0, 2**63, 4).astype(np.uint64)
         fps = np.unique(np.r_[[base[i % 4 if i % 9 == 0 else 0] ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, 3).astype(np.uint64)) for i in range(250)], r.integers(0, 2**63, 20).astype(np.uint64)])
         probes = r.random(len(fps)) < 0.3
-        a, b = S.links_below(np.where(probes, 11, 10).astype(np.uint32), [fps], within)
+        a, b, *_ = S.links_below(np.where(probes, 11, 10).astype(np.uint32), [fps], within)
         assert all(x != y for x, y in zip(a, b, strict=True))
         found = joined(zip(a.tolist(), b.tolist(), strict=True))
         want = joined((int(x), int(y)) for i, x in enumerate(fps) for j, y in enumerate(fps) if i < j and not (probes[i] and probes[j]) and (int(x) ^ int(y)).bit_count() <= within)
@@ -157,7 +157,7 @@ def test_filed_rows_outside_the_core_meet_probing_rows_in_it():
     assert len(shared) == 1 and (next(iter(shared)), False) in sent[f] and (next(iter(shared)), True) in sent[p]
     rows = [(probes, x) for x, keys in sent.items() for k, probes in sorted(keys) if k in shared]
     assert len(rows) >= S.LONG_RUN and (f ^ p).bit_count() == 4 and all((f ^ x).bit_count() > 4 for _, x in rows if x != p and x != f)
-    a, b = S.links_below(np.array([10 + probes for probes, _ in rows], np.uint32), [np.array([x for _, x in rows], np.uint64)], 4)
+    a, b, *_ = S.links_below(np.array([10 + probes for probes, _ in rows], np.uint32), [np.array([x for _, x in rows], np.uint64)], 4)
     found = joined(zip(a.tolist(), b.tolist(), strict=True))
     assert found(f) == found(p)
 
@@ -179,3 +179,58 @@ def test_copies_of_similarity_above_the_bound_go(spark):
     assert {3 * k for k in range(60)} <= kept
     near, far = sum(3 * k + 1 in kept for k in range(60)), sum(3 * k + 2 in kept for k in range(60))
     assert near <= 3 and far >= 57
+
+
+def test_recall_and_precision_of_the_similarity(spark):
+    """Of pairs of distinct texts with a similarity of 0.8 or more nine in ten are in one group; nothing goes without a link of that similarity."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    rows, d = [], 0
+    for k in range(120):
+        text = [word() for _ in range(r.choice([30, 80, 250]))]
+        for j in range(4):
+            copy = list(text)
+            for i in r.sample(range(len(text)), round(len(text) * r.choice([0.0, 0.01, 0.02, 0.025, 0.04, 0.08])) if j else 0):
+                copy[i] = word()
+            rows.append((d, " ".join(copy)))
+            d += 1
+    sets = {i: set(S.shingle_hashes(t.encode(), 5)) for i, t in rows}
+    alike = [(i, j) for i in sets for j in range(i // 4 * 4, i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) > 100
+    docs = spark.createDataFrame(rows, "hash bigint, text string")
+    of = {x.hash: x.group for x in S.similar_texts(docs, 5, 0.8, 2, 17, 25).collect()}
+    group = {i: of.get(i, i) for i in sets}
+    assert sum(group[i] == group[j] for i, j in alike) >= 0.9 * len(alike)
+    truly = joined(alike)
+    assert all(truly(i) == truly(g) for i, g in group.items())
+    kept = {x.doc_id for x in S.one_of_each(docs.withColumnRenamed("hash", "doc_id")).collect()}
+    linked = {i for pair in alike for i in pair}
+    assert all(i in linked for i in sets if i not in kept)
+
+
+def test_long_runs_are_split(spark, monkeypatch):
+    monkeypatch.setattr(S, "RUN", 40)
+    monkeypatch.setattr(S, "HOT_LEAST", 10**9)
+    r = random.Random(5)
+    fps = {(r.getrandbits(10) << 54) | r.getrandbits(12) for _ in range(400)}  # most bits are the same, so runs are long
+    fps = sorted(fps)
+    nodes = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp bigint")
+    found = joined((a & (2**64 - 1), b & (2**64 - 1)) for a, b, _ in S.links(nodes).collect())
+    want = joined((x, y) for i, x in enumerate(fps) for y in fps[:i] if (x ^ y).bit_count() <= 4)
+    for i, x in enumerate(fps):
+        for y in fps[:i]:
+            assert (want(x) == want(y)) == (found(x) == found(y))
+
+
+def test_forest_keeps_the_nearest():
+    r = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = (r.integers(0, 20, 60).astype(np.uint64) for _ in range(2))
+        apart = r.integers(0, 5, 60).astype(np.uint16)
+        go = a != b
+        x, y, z = S.forest(a[go], b[go], apart[go])
+        whole, kept = joined(zip(a[go].tolist(), b[go].tolist(), strict=True)), joined(zip(x.tolist(), y.tolist(), strict=True))
+        assert all((whole(i) == whole(j)) == (kept(i) == kept(j)) for i in range(20) for j in range(20))
+        for k in range(5):  # as many links of up to k bits as any forest has
+            near = joined(zip(a[go][apart[go] <= k].tolist(), b[go][apart[go] <= k].tolist(), strict=True))
+            assert int((z <= k).sum()) == 20 - len({near(i) for i in range(20)})
