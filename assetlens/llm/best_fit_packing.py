@@ -1,12 +1,12 @@
 """Packing token sequences by best-two-fit.
 
 Documents longer than a sequence are cut into full pieces, with one shorter piece first; full pieces are sequences of
-their own. All other pieces are dealt at random over blocks that are large enough to pack as well as one (a block loses
-less than one sequence). In a block, a sequence is filled greedily with the largest piece that fits; what gap is left
+their own and are not packed any further. All other pieces (one a document at most) are dealt at random over blocks that
+are large enough to pack as well as one (a block loses less than one sequence). In a block, a sequence is filled greedily with the largest piece that fits; what gap is left
 is then tightened by putting two pieces that are not yet packed in the place of the sequence's smallest one.
 
-The queries split texts at the vocabulary's added tokens first (SPECIAL), as its ``tokenizers`` file does; the functions take
-them as plain text unless told which.
+Ids are those that ``tokenizers`` gives with byte_bpe_50k.json at its defaults: texts are split at its added tokens
+(SPECIAL) first. With a rank file of one's own, no text is an added token unless ``special`` says so.
 
 A null text is empty and still ends in the end token. Repeated rows are documents of their own. Other columns are
 ignored; an empty table gives no rows.
@@ -50,12 +50,12 @@ class Tokens(dict):
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         self.special = {token: np.array([k], "<u4").tobytes() for token, k in (special or {}).items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if special else None
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        ids = np.array(self.encode(word.encode()), "<u4").tobytes()
+        ids = np.array(self.encode(word), "<u4").tobytes()
         if len(word) < 64:
             self[word] = ids
         return ids
@@ -70,7 +70,7 @@ def tokens(ranks_file: str | None = None, special: dict[str, int] | None = None)
     if ranks_file is None:
         import public_tokenizers
 
-        ranks_file = public_tokenizers.path("byte_bpe_50k.tiktoken")
+        ranks_file, special = public_tokenizers.path("byte_bpe_50k.tiktoken"), SPECIAL if special is None else special
     found = getattr(_local, "tokens", None)
     if found is None or found[0] != (ranks_file, special):
         _local.tokens = found = ((ranks_file, special), Tokens(ranks_file, special))
@@ -180,20 +180,25 @@ def pack_block(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return sequence, offset
 
 
-def pack_documents(docs: DataFrame, most: int = 2048, end_id: int = 0, ranks_file: str | None = None, keep_ids: bool = False, special: dict[str, int] | None = None) -> DataFrame:
-    """pieces() with their sequence_id and offset."""
+def pack_documents(docs: DataFrame, most: int = 2048, end_id: int = 0, ranks_file: str | None = None, keep_ids: bool = False, special: dict[str, int] | None = None, block: int | None = None) -> DataFrame:
+    """pieces() with their sequence_id and offset. block: pieces that one task packs; with keep_ids it holds their ids, too."""
+    block = block or BLOCK
     cut = pieces(docs, most, end_id, ranks_file, keep_ids, special)
-    n_blocks = -(-max(1, docs.count()) // BLOCK)
+    n_docs, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col("text").cast("string")))).first()
+    # a document has one piece below the full length at most, and no more tokens than bytes and the end token
+    n_blocks, n_full = -(-max(1, n_docs) // block), -(-max(1, (size or 0) + n_docs) // (most * block))
     # blocks are chosen by a hash of the whole row, so that no id can crowd one
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(n_blocks)))
+    row = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
+    cut = cut.withColumn("block", F.when(F.col("length") == most, n_blocks + F.pmod(row, F.lit(n_full))).otherwise(F.pmod(row, F.lit(n_blocks))))
 
     def each(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        sequence, offset = pack_block(rows["length"].to_numpy(), most)
-        return rows.drop_columns(["block"]).append_column("sequence_id", pa.array(sequence * n_blocks + key[0].as_py())).append_column("offset", pa.array(offset))
+        k = key[0].as_py()
+        sequence, offset = pack_block(rows["length"].to_numpy(), most) if k < n_blocks else (np.arange(rows.num_rows), np.zeros(rows.num_rows, np.int64))
+        return rows.drop_columns(["block"]).append_column("sequence_id", pa.array(sequence * (n_blocks + n_full) + k)).append_column("offset", pa.array(offset))
 
     return cut.groupBy("block").applyInArrow(each, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, sequence_id bigint, offset bigint")
 
 
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), special=SPECIAL).drop("ids")
+    return pack_documents(table(spark, sf_dir, "documents")).drop("ids")

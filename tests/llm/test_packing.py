@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -10,7 +11,6 @@ from assetlens.llm import best_fit_packing as B
 
 def verify(rows, docs, most):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = []
     for d, text in docs:
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
@@ -63,6 +63,23 @@ def test_added_tokens_of_the_queries(spark, tmp_path):
     assert {r.doc_id: r.ids_crc32 for r in corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()} == want
 
 
+def test_ids_of_random_texts():
+    r = random.Random(4)
+    t, known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), B.tokens()
+    parts = ["<|endoftext|>", "<|", "|>", "endoftext", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\u3000", "\u00a0", "it's", "'S", "word", "Wörter", "日本語", "😀", "é", "e\u0301", "123", "1", "_", "...", "\x00", "\u200d"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        assert np.frombuffer(known.of(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_full_pieces_are_sequences_of_their_own(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g h " * 10) for i in range(30)], "doc_id bigint, text string")
+    rows = B.pack_documents(docs, 8, block=10).collect()
+    full = [r.sequence_id for r in rows if r.length == 8]
+    assert len(full) == len(set(full)) == 300 and not set(full) & {r.sequence_id for r in rows if r.length < 8} and {r.offset for r in rows if r.length == 8} == {0}
+    verify(rows, [(i, "a b c d e f g h " * 10) for i in range(30)], 8)
+
+
 def test_best_two_fit():
     assert sorted(map(sorted, B.best_two_fit(np.array([6, 5, 3, 2, 2]), 10))) in ([[2, 2, 6], [3, 5]], [[2, 3, 5], [2, 6]])
     rng = np.random.default_rng(1)
