@@ -7,7 +7,9 @@ logistic in the log of the found weights and in the log of their density over th
 
 Lexicon, exceptions and the logistic's three numbers are learned from labelled rows outside the held-out fifth, by
 default from a sample of about 20,000 of them chosen by a hash of the id; counts of words are taken by Spark. A word's
-weight is its log-odds between toxic and clean documents. Rows with a null label don't teach; of several labels of a
+weight is its log-odds between toxic and clean documents. All words of ``least_letters`` (3) or more are in the lexicon
+whose odds are high and that are in ``least_share`` (2 %) of the toxic documents and in three of them; so there are no more than
+50 times as many as a toxic document has words. Rows with a null label don't teach; of several labels of a
 document the largest counts. Without any toxic row all scores are the same, below one half.
 
 A null text is scored like an empty one, a null doc_id is not held out. Repeated rows get the same score. Other columns
@@ -32,8 +34,8 @@ from pyspark.sql.functions import pandas_udf
 
 from assetlens.llm.common import checkpoint, table
 
-#: Labelled rows that are learned from, about; words and phrases that are kept at most.
-TRAIN_ROWS, LEXICON_SIZE, EXCEPTIONS_SIZE = 20_000, 500, 1000
+#: Labelled rows that are learned from, about.
+TRAIN_ROWS = 20_000
 #: Letters that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKES = dict(zip("авеѕіјкмнорстухһԁԛԝαβεικνορτυχϲϳɑɡıℓ", "abesijkmhopctyxhdqwabeiknoptuxcjagii", strict=True)) | {"ß": "s", "ø": "o", "ł": "i", "đ": "d", "æ": "a", "œ": "o"}
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "l": "i"}
@@ -77,15 +79,28 @@ class Model:
         return a
 
 
+def letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
+def word_before(folded: str, at: int) -> str:
+    while at and not letter(folded[at - 1]):
+        at -= 1
+    end = at
+    while at and letter(folded[at - 1]):
+        at -= 1
+    return folded[at:end]
+
+
 def hits(folded: str, automaton: ahocorasick.Automaton) -> Iterator[tuple[str, float, str, str]]:
     """(word, weight, phrase with the word before, phrase with the word after) of all lexicon words in a folded text."""
     n = len(folded)
     for end, (word, weight) in automaton.iter(folded):
         start, end = end - len(word) + 1, end + 1
-        if (start and folded[start - 1].isalpha()) or (end < n and folded[end].isalpha()):
+        if (start and letter(folded[start - 1])) or (end < n and letter(folded[end])):
             continue
-        before, after = WORD.findall(folded[max(0, start - 40) : start]), WORD.search(folded, end, end + 40)
-        yield word, weight, f"{before[-1]} {word}" if before else "", f"{word} {after[0]}" if after else ""
+        before, after = word_before(folded, start), WORD.search(folded, end)
+        yield word, weight, f"{before} {word}" if before else "", f"{word} {after[0]}" if after else ""
 
 
 def weight_in(text: str, model: Model, automaton: ahocorasick.Automaton) -> float:
@@ -166,7 +181,7 @@ def _phrases(model: Model):
     return of
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least_log_odds: float = 2.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least_log_odds: float = 2.0, least_letters: int = 3, least_share: float = 0.02) -> Model:
     train = checkpoint(training_rows(docs, labels, rows))
     n = {True: 0, False: 0}
     for r in train.groupBy("toxic").count().collect():
@@ -175,12 +190,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least_log_
         return Model()
     odds = lambda c: F.log((F.col(c[0]) + 0.5) / (c[1] + 1.0))
     log_odds = odds(("toxic", n[True])) - odds(("clean", n[False]))
-    words = _count(train, lambda text: (w for w in WORD.findall(fold(text)) if 3 <= len(w) <= 40))
-    words = words.filter(F.col("toxic") >= max(3, 0.02 * n[True])).withColumn("weight", log_odds).filter(F.col("weight") >= least_log_odds)
-    model = Model({r["key"]: r.weight for r in words.orderBy(F.col("weight").desc(), "key").limit(LEXICON_SIZE).collect()})
+    words = _count(train, lambda text: (w for w in WORD.findall(fold(text)) if len(w) >= least_letters))
+    words = words.filter(F.col("toxic") >= max(3, least_share * n[True])).withColumn("weight", log_odds).filter(F.col("weight") >= least_log_odds)
+    model = Model({r["key"]: r.weight for r in words.orderBy(F.col("weight").desc(), "key").collect()})
     if not model.weights:
         return model
-    usual = _count(train, _phrases(model)).filter((F.col("clean") >= 3) & (-log_odds >= 1.0)).orderBy(log_odds, "key").limit(EXCEPTIONS_SIZE)
+    usual = _count(train, _phrases(model)).filter((F.col("clean") >= 3) & (-log_odds >= 1.0))
     model.exceptions = frozenset(r["key"] for r in usual.collect())
 
     def measure(batches):

@@ -1,6 +1,8 @@
+import math
+import random
+import re
 import zlib
 
-
 from assetlens.llm import toxicity as T
 
 
@@ -37,6 +39,29 @@ def test_learns_exceptions_and_scores(spark):
     assert {r.predicted for r in none.collect()} == {0}
 
 
+def plain_score(text, model):
+    """The score without an automaton: all words in order, each with its neighbours."""
+    words, weight = [m[0] for m in re.finditer(r"[^\W\d_]+", T.fold(text or ""))], 0.0
+    for k, w in enumerate(words):
+        if w in model.weights:
+            around = [f"{x} {w}" for x in words[max(0, k - 1) : k]] + [f"{w} {x}" for x in words[k + 1 : k + 2]]
+            weight += 0.0 if any(p in model.exceptions for p in around) else model.weights[w]
+    x = model.logistic[0] + model.logistic[1] * math.log1p(weight) + model.logistic[2] * math.log1p(1000 * weight / max(len(text or ""), 1))
+    return 1 / (1 + math.exp(-min(30, max(-30, x))))
+
+
+def test_scores_are_those_of_a_plain_scorer(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = T.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    r = random.Random(3)
+    words = [*list(model.weights)[:5], "a1", "1", "²x", "_", "fool", "x" * 60, *(w for p in list(model.exceptions)[:9] for w in p.split())]
+    texts = [(10**6 + i, "".join(r.choice(words) + r.choice([" ", "", "\n", "  -  ", " " * 90]) for _ in range(r.randint(0, 12)))) for i in range(300)]
+    model.exceptions |= {f"{'x' * 60} {w}" for w in list(model.weights)[:2]}
+    got = T.score_documents(docs.unionByName(spark.createDataFrame(texts, docs.schema)), model).collect()
+    assert len(model.weights) > 5 and all(abs(x.score - plain_score(x.text, model)) < 1e-9 for x in got)
+    assert sum(x.score >= 0.5 for x in got) > 5
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     rows = T.op8_toxicity(spark, sf).collect()
