@@ -29,10 +29,10 @@ from assetlens.llm.common import table
 from assetlens.llm.html_blocks import Block, blocks
 from assetlens.llm.html_corpus import Maker
 
-PATH, WORDS, PLAIN, HIDDEN = 192, 64, 12, 24
+PATH, WORDS, PLAIN, HIDDEN = 192, 96, 12, 28
 WIDTH = PATH + WORDS + PLAIN
 #: Made-up pages to learn from, passes over them, and their seed.
-PAGES, PASSES, SEED = 2400, 4, 11
+PAGES, PASSES, SEED = 3600, 4, 11
 #: Blocks that are held as vectors at once.
 AT_ONCE = 1 << 12
 _WORD = re.compile(r"\w+")
@@ -55,18 +55,19 @@ def _path_places(path: tuple) -> np.ndarray:
     return np.array(sorted({_bucket(k, PATH) for k in keys}), np.int64)
 
 
-def vectors(found: list[Block]) -> np.ndarray:
-    """A row for each block of a page."""
+def vectors(found: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """A row for each block of a page, or for those from start to stop."""
     n = len(found)
-    x = np.zeros((n, WIDTH), np.float32)
-    for i, b in enumerate(found):
-        x[i, _path_places(b.path)] = 1
+    x = np.zeros(((n if stop is None else stop) - start, WIDTH), np.float32)
+    for row, b in enumerate(found[start:stop]):
+        i = start + row
+        x[row, _path_places(b.path)] = 1
         text = b.text
         words = _WORD.findall(text.lower())
         counts = np.bincount([zlib.crc32(w.encode()) % WORDS for w in words], minlength=WORDS) if words else np.zeros(WORDS)
-        x[i, PATH : PATH + WORDS] = counts / max(1.0, np.sqrt(len(words)))
+        x[row, PATH : PATH + WORDS] = counts / max(1.0, np.sqrt(len(words)))
         size, k = len(text), len(words)
-        x[i, PATH + WORDS :] = (
+        x[row, PATH + WORDS :] = (
             np.log1p(size) / 6, np.log1p(k) / 4, b.linked / size, size < 30, sum(map(text.count, ".,!?;")) / (k + 1),
             text[-1] in ".!?:", "©" in text, text[0].isupper(), i / n, (n - i) / n, 1 / (1 + i), len(b.path) / 8,
         )
@@ -87,12 +88,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _scan(x: np.ndarray, mask: np.ndarray, wx, wh, a, keep: list | None) -> np.ndarray:
-    """Hidden states (time, page, unit) of one direction; x is (time, page, feature). keep: gets what the way back needs."""
+def _scan(x: np.ndarray, mask: np.ndarray, wx, wh, a, keep: list | None, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
+    """Hidden states (time, page, unit) of one direction, and the last state; x is (time, page, feature). keep: gets what the way back needs."""
     steps, pages, _ = x.shape
     z_all = x.reshape(steps * pages, -1) @ wx + a
     z_all = z_all.reshape(steps, pages, -1)
-    h, c, out = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32), np.empty((steps, pages, HIDDEN), np.float32)
+    h, c = state or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
+    out = np.empty((steps, pages, HIDDEN), np.float32)
     for t in range(steps):
         z = z_all[t] + h @ wh
         gates = _sigmoid(z[:, : 3 * HIDDEN])
@@ -105,7 +107,7 @@ def _scan(x: np.ndarray, mask: np.ndarray, wx, wh, a, keep: list | None) -> np.n
             keep.append((h, c, i, f, o, g, tanh_c, m))
         h, c = new_h, new_c
         out[t] = h
-    return out
+    return out, (h, c)
 
 
 def forward(x: np.ndarray, mask: np.ndarray, w: dict, keep: dict | None = None) -> np.ndarray:
@@ -114,13 +116,27 @@ def forward(x: np.ndarray, mask: np.ndarray, w: dict, keep: dict | None = None)
     for d in ("f", "b"):
         kept: list | None = None if keep is None else keep.setdefault(d, [])
         turn = slice(None) if d == "f" else slice(None, None, -1)
-        sides.append(_scan(x[turn], mask[turn], w[f"x{d}"], w[f"h{d}"], w[f"a{d}"], kept)[turn])
+        sides.append(_scan(x[turn], mask[turn], w[f"x{d}"], w[f"h{d}"], w[f"a{d}"], kept)[0][turn])
     both = np.concatenate(sides, 2)
     if keep is not None:
         keep["both"] = both
     return both @ w["out"] + w["bias"][0]
 
 
+def in_pieces(page: list[Block], w: dict) -> np.ndarray:
+    """Log-odds of one long page: both ways carry their state from piece to piece, so that only one piece is held as vectors."""
+    n, sums = len(page), np.full(len(page), w["bias"][0])
+    for k, d in enumerate(("f", "b")):
+        state = None
+        starts = range(0, n, AT_ONCE) if d == "f" else reversed(range(0, n, AT_ONCE))
+        turn = slice(None) if d == "f" else slice(None, None, -1)
+        for a in starts:
+            x = vectors(page, a, min(n, a + AT_ONCE))[:, None][turn]
+            h, state = _scan(x, np.ones(x.shape[:2], np.float32), w[f"x{d}"], w[f"h{d}"], w[f"a{d}"], None, state)
+            sums[a : a + AT_ONCE] += (h @ w["out"][k * HIDDEN : (k + 1) * HIDDEN])[:, 0][turn]
+    return sums
+
+
 def gradients(x: np.ndarray, mask: np.ndarray, y: np.ndarray, w: dict) -> dict[str, np.ndarray]:
     keep: dict = {}
     p = _sigmoid(forward(x, mask, w, keep))
@@ -199,9 +215,12 @@ def label(pages: list[list[Block]], w: dict) -> list[np.ndarray]:
     part: list[int] = []
     for n, k in enumerate(order):
         part.append(k)
-        if len(part) * len(pages[k]) >= AT_ONCE or n == len(order) - 1:
-            x, mask = padded([vectors(pages[j]) for j in part])
-            logits = forward(x, mask, w)
+        # a part is closed before the page that would make it too large; a page that is too large alone goes in pieces
+        if n == len(order) - 1 or (len(part) + 1) * len(pages[order[n + 1]]) > AT_ONCE:
+            if len(pages[k]) > AT_ONCE:
+                logits = in_pieces(pages[k], w)[:, None]
+            else:
+                logits = forward(*padded([vectors(pages[j]) for j in part]), w)
             for column, j in enumerate(part):
                 out[j] = logits[: len(pages[j]), column] > 0
             part = []

@@ -9,11 +9,11 @@ from dataclasses import dataclass
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 #: Their content isn't markup and never text of the page.
-RAW = {"script", "style", "template", "svg", "iframe", "object", "math", "noembed", "xmp"}
+RAW = {"script", "style", "template", "svg", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
-    "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "source", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br",
+    "math", "mfrac", "mi", "mn", "mo", "mrow", "msqrt", "msub", "msup", "mtext", "semantics", "mark", "nobr", "object", "q", "rp", "rt", "ruby", "s", "samp", "small", "source", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br",
 }
 #: Tags that end an open one of these when they start, up to the tags that enclose lists and tables.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -37,7 +37,7 @@ def _names(attributes: str) -> tuple[str, ...]:
     for m in ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         words += [w for w in re.split(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])", value) if w]
-    return tuple(w.lower() for w in words[:12])
+    return tuple(w.lower() for w in words)
 
 
 def blocks(page: str) -> list[Block]:

@@ -1,9 +1,13 @@
+from collections import Counter
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from assetlens.llm import block_labeller as B
 from assetlens.llm.html_blocks import blocks
 from assetlens.llm.html_corpus import Maker
+from tests.llm.page_families import FAMILIES, Pages
 
 PROSE = "The river had been rising for three days, and nobody in the village slept. "
 
@@ -42,7 +46,7 @@ def test_gradients_agree_with_differences():
 def test_unseen_made_up_pages(weights):
     maker, right, total = Maker(12345), 0, 0
     for _ in range(150):
-        page, labels = maker.page()
+        page, labels = maker.page("named")
         found = blocks(page)
         assert [b.text for b in found] == [" ".join(B.blocks(t)[0].text.split()) if B.blocks(t) else "" for t, _ in labels if t.strip()]
         keep = B.label([found], weights)[0]
@@ -51,6 +55,34 @@ def test_unseen_made_up_pages(weights):
     assert right / total > 0.99
 
 
+@pytest.mark.parametrize("family", FAMILIES)
+def test_layouts_that_training_has_not_seen(weights, sf, family):
+    """Words of hand-written layouts (page_families.py): precision and recall of each layout."""
+    prose = [" ".join(t.split()) for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist() if t and 20 < len(t.split()) < 150]
+    pages, right, found, real = Pages(5, prose), 0, 0, 0
+    for _ in range(60):
+        page, texts = getattr(pages, family)()
+        got, want = Counter(B.main_texts([page], weights)[0].split()), Counter(" ".join(texts).split())
+        right, found, real = right + (got & want).total(), found + got.total(), real + want.total()
+    assert right / found >= 0.95 and right / real >= 0.95, (right / found, right / real)
+
+
+def test_long_pages_take_bounded_memory(weights, monkeypatch):
+    import tracemalloc
+
+    short, long = f"<article>{f'<p>{PROSE}</p>' * 10}</article>", f"<article>{f'<p>{PROSE}</p>' * 100_000}</article>"
+    found = [blocks(p) for p in [short] * 255 + [long]]
+    tracemalloc.start()
+    keep = B.label(found, weights)
+    assert tracemalloc.get_traced_memory()[1] < 500e6 and len(keep[-1]) == 100_000 and keep[-1].mean() > 0.9
+    tracemalloc.stop()
+    # in pieces as at once
+    page = blocks(f"<nav><a href=/>Home</a></nav><article>{f'<p>{PROSE}</p><p>x</p>' * 40}</article><footer>All rights reserved</footer>")
+    at_once = B.forward(*B.padded([B.vectors(page)]), weights)[:, 0]
+    monkeypatch.setattr(B, "AT_ONCE", 16)
+    assert np.abs(B.in_pieces(page, weights) - at_once).max() < 1e-3
+
+
 def test_query_on_odd_rows(spark, weights, tmp_path):
     page = (
         '<html><head><title>T</title></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/x">About</a></li></ul></nav>'
