@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlens.llm.common import checkpoint, spread_join
+from assetlens.llm.common import checkpoint
 
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
-    """One step over edges (a, b) with a > b: neighbours move to the smallest node that their node sees. Nodes with very many neighbours are spread."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One step over edges (a, b) with a > b: neighbours move to the smallest node that their node sees.
+
+    A hub's neighbours, rows of two numbers, stream through a sort-merge join, which adaptive execution splits where it is skewed."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
-    least = least.select("a", F.least("a", "least").alias("least"), "n")
-    near = spread_join(both, least, "a", total)
+    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+    near = both.join(least, "a")
     if large:
         moved = near.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
@@ -30,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     state = lambda: tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     last = state()
     while last[0]:
-        edges = checkpoint(_star(_star(edges, True, 2 * last[0]), False, 2 * last[0]))
+        edges = checkpoint(_star(_star(edges, True), False))
         now = state()
         if now == last:
             break
