@@ -16,7 +16,12 @@ CHILD = ["ребенок", "ребёнок", "несовершеннолетни
 def resolved(c: Column) -> Column:
     """struct<family, first, patronymic> in lower case, ё as е: 'Family First Patronymic', 'First Patronymic Family', 'Family I. P.' or
     'I. P. Family'; initials are single letters. Null for anything else."""
-    s = F.translate(F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"^[\d.,\s]+", ""), r"[\s,]+", " "))), "ё", "е")
+    clean = F.translate(F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"^[\d.,\s]+", ""), r"[\s,]+", " "))), "ё", "е")
+    # a lambda binds the cleaned text once; as a plain expression it would be copied into every test
+    return F.get(F.transform(F.array(clean), _parts), F.lit(0))
+
+
+def _parts(s: Column) -> Column:
     word, initial = r"([а-яa-z][а-яa-z'’\-]+)", r"([а-яa-z])\.?"
     part = lambda pattern, n: F.regexp_extract(s, pattern, n)
     full, behind, ahead, two = f"^{word} {word} {word}$", f"^{word} {initial}(?: ?{initial})?$", f"^{initial}(?: ?{initial})? ?{word}$", f"^{word} {word}$"

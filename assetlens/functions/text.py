@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 LATIN, CYRILLIC = "ABCEHKMOPTXaceopxyu", "АВСЕНКМОРТХасеорхуи"
 #: Texts of a cell that say that there is nothing.
 EMPTY_VALUES = ["", "-", "--", "---", "не имеет", "нет", "отсутствует", "не указано", "n/a"]
+#: Cyrillic letters in Latin ones.
+IN_LATIN = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o",
+    "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "\"", "ы": "y", "ь": "'", "э": "e", "ю": "iu", "я": "ia",
+}
 SPACE = r"\s+"
 
 
@@ -130,3 +135,26 @@ def any_token(text: Column, words: list[str]) -> Column:
 
 def all_tokens(text: Column, words: list[str]) -> Column:
     return F.size(F.array_except(F.array(*(F.lit(w.lower()) for w in words)), F.split(F.lower(text), r"\W+"))) == 0
+
+
+def in_latin(c: Column) -> Column:
+    """Cyrillic letters as Latin ones, in lower case."""
+    one = {k: v for k, v in IN_LATIN.items() if len(v) == 1}
+    out = F.translate(F.lower(c), "".join(one), "".join(one.values()))
+    for k, v in IN_LATIN.items():
+        if len(v) > 1:
+            out = F.replace(out, F.lit(k), F.lit(v))
+    return out
+
+
+def vehicle_key(c: Column) -> Column:
+    """A vehicle's name for comparison: Latin letters, no spaces or hyphens."""
+    return F.regexp_replace(in_latin(c), r"[\s\-]", "")
+
+
+def brands(c: Column, known: Column) -> Column:
+    """Brands that a vehicle text names, in order, without repeats in a row. known: map of a brand's first word (as in_latin gives it) to the brand."""
+    words = F.split(in_latin(one_space(c)), r"[ ,;()]+")
+    heads = F.transform(words, lambda w: F.coalesce(known[w], known[F.split_part(w, F.lit("-"), F.lit(1))]))
+    named = F.filter(heads, lambda b: b.isNotNull())
+    return F.filter(F.transform(named, lambda b, i: F.when((i == 0) | (b != F.get(named, i - 1)), b)), lambda b: b.isNotNull())
