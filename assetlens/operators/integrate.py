@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetlens.operators.graph import cut
+from assetlens.operators.ordered import running_totals
+
 
 def unique_by(df: DataFrame, keys: list[str], value: str, equal_is_fine: bool = False) -> DataFrame:
     """Keys that lead to one row only; equal_is_fine: to one value only."""
-    n = F.countDistinct(value) if equal_is_fine else F.count("*")
-    return df.dropna(subset=keys).groupBy(*keys).agg(n.alias("_n"), F.min(value).alias(value)).filter("_n = 1").drop("_n")
+    one = F.max(value) == F.min(value) if equal_is_fine else F.count("*") == 1
+    return df.dropna(subset=keys).groupBy(*keys).agg(one.alias("_one"), F.min(value).alias(value)).filter("_one").drop("_one")
 
 
 def two_key_match(left: DataFrame, right: DataFrame, first: list[str], second: list[str], value: str) -> DataFrame:
@@ -20,10 +23,18 @@ def two_key_match(left: DataFrame, right: DataFrame, first: list[str], second: l
 
 
 def variant_match(left: DataFrame, right: DataFrame, variants: list[Column], id_: str, value: str) -> DataFrame:
-    """Match by the most detailed of several key strings that finds a unique value; of rows of one id the smallest value of that level."""
-    keys = F.posexplode(F.array(*variants)).alias("level", "key")
-    found = unique_by(right.select(keys, value), ["level", "key"], value, equal_is_fine=True)
-    return left.select(id_, keys).join(found, ["level", "key"]).groupBy(id_).agg(F.min_by(value, F.struct("level", value)).alias(value), F.min("level").alias("level"))
+    """Match by the most detailed of several key strings that finds a unique value; of rows of one id the smallest value of that level.
+
+    Levels go one after the other, and only ids that found nothing go on to the next."""
+    rest, out = left, None
+    for level, key in enumerate(variants):
+        unique = unique_by(right.select(key.alias("_key"), value), ["_key"], value, equal_is_fine=True)
+        found = rest.select(id_, key.alias("_key")).distinct().join(unique, "_key").groupBy(id_).agg(F.min(value).alias(value)).withColumn("level", F.lit(level))
+        if level < len(variants) - 1:
+            found = cut(found)
+            rest = rest.join(found.select(id_), id_, "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def merged_documents(*sets: DataFrame) -> DataFrame:
@@ -49,14 +60,11 @@ def first_seen(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 def surrogate_keys(new: DataFrame, old: DataFrame, first: str, second: str, order: str) -> DataFrame:
     """new with ``id``: that of the old row with the same first key, else the second; new ones go on from the largest old id.
 
-    New ids are numbered per partition of a range partitioning, from the row counts of the partitions before (one row each)."""
+    New ids are numbered range by range of the order (ordered.running_totals)."""
     by = lambda key: old.dropna(subset=[key]).groupBy(key).agg(F.min("id").alias(f"_{key}"))
     known = new.join(by(first), first, "left").join(by(second), second, "left").withColumn("id", F.coalesce(f"_{first}", f"_{second}")).drop(f"_{first}", f"_{second}")
-    missing = known.filter("id is null").drop("id").repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    numbered = missing.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    start = missing.groupBy("_part").agg(F.count("*").alias("_rows")).withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     most = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_most"))
-    fresh = numbered.join(F.broadcast(start.select("_part", "_before")), "_part").join(F.broadcast(most)).withColumn("id", (F.col("_most") + F.col("_before") + F.col("_n")).cast("bigint"))
+    fresh = running_totals(known.filter("id is null").drop("id"), [F.col(order)], _n=F.lit(1)).join(F.broadcast(most)).withColumn("id", (F.col("_most") + F.col("_n")).cast("bigint"))
     return known.filter("id is not null").select(*new.columns, F.col("id").cast("bigint")).unionByName(fresh.select(*new.columns, "id"))
 
 
@@ -95,5 +103,5 @@ def bag_match(golden: DataFrame, test: DataFrame, doc: str, *fields: str) -> Dat
 def precision_recall(scored: DataFrame, score: str, label: str) -> DataFrame:
     """Points of the precision-recall curve, one for each distinct score; scores are counted first, so that rows aren't sorted."""
     by = scored.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("yes"))
-    w, all_ = Window.orderBy(F.col(score).desc()), Window.partitionBy()
-    return by.withColumn("tp", F.sum("yes").over(w)).withColumn("found", F.sum("n").over(w)).withColumn("all_yes", F.sum("yes").over(all_)).select(score, F.round(F.col("tp") / F.col("found"), 4).alias("precision"), F.round(F.try_divide(F.col("tp"), F.col("all_yes")), 4).alias("recall"))
+    placed = running_totals(by, [F.col(score).desc()], tp="yes", found="n")
+    return placed.join(F.broadcast(by.agg(F.sum("yes").alias("all_yes")))).select(score, F.round(F.col("tp") / F.col("found"), 4).alias("precision"), F.round(F.try_divide(F.col("tp"), F.col("all_yes")), 4).alias("recall"))

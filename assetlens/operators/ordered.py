@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetlens.operators.graph import cut
+
+
+def in_parts(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df in ranges of an order, the range's number in _part. Written once, so that the ranges are the same wherever they are used."""
+    return cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def running_totals(df: DataFrame, order: list[Column], **sums: str | Column) -> DataFrame:
+    """Running sums in an order over all rows, without one task seeing all of them: each range adds up its own rows, and the totals of
+    the ranges (a row each) say where every range starts."""
+    parts = in_parts(df.withColumns({f"_v_{name}": F.col(of) if isinstance(of, str) else of for name, of in sums.items()}), order)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("_part").agg(*(F.sum(f"_v_{name}").alias(f"_s_{name}") for name in sums))
+    starts = starts.select("_part", *(F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0)).alias(f"_s_{name}") for name in sums))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = parts.join(F.broadcast(starts), "_part").withColumns({name: F.sum(f"_v_{name}").over(own) + F.col(f"_s_{name}") for name in sums})
+    return out.drop("_part", *(f"_{k}_{name}" for name in sums for k in "vs"))
+
 
 def top_places(df: DataFrame, group: list[str], order: list[Column], n: int, least: int = 1) -> DataFrame:
     """The first n rows of each group of at least ``least`` rows, with their place and the number of competitors.
@@ -25,20 +42,9 @@ def first_of(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
 
 
 def unique_ranks(df: DataFrame, key: str, of: str) -> DataFrame:
-    """Unique ranks from 0 of keys by (number of distinct values desc, key desc), without sorting all keys in one task.
-
-    Keys are counted by frequency, which gives each frequency its first rank; within one frequency they are range-partitioned and
-    numbered by partition."""
+    """Unique ranks from 0 of keys by (number of distinct values desc, key desc), numbered range by range."""
     counts = df.groupBy(key).agg(F.countDistinct(of).alias("n"))
-    return counts.join(ranked_frequencies(counts, "n"), "n").withColumn("rank", F.col("first_rank") + F.row_number().over(Window.partitionBy("n").orderBy(F.col(key).desc())) - 1).select(key, "n", "rank")
-
-
-def ranked_frequencies(counts: DataFrame, n: str) -> DataFrame:
-    """For each frequency the number of rows with a higher one. Distinct frequencies f need keys of f rows, so they are few (the root of
-    twice the rows at most) and one window over them is small."""
-    by = counts.groupBy(n).agg(F.count("*").alias("_rows"))
-    before = Window.orderBy(F.col(n).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return by.select(n, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("first_rank"))
+    return running_totals(counts, [F.col("n").desc(), F.col(key).desc()], rank=F.lit(1)).select(key, "n", (F.col("rank") - 1).alias("rank"))
 
 
 def running(df: DataFrame, group: list[str], order: list[Column], **sums: str) -> DataFrame:
@@ -86,33 +92,14 @@ def until_gap(df: DataFrame, group: str, order: str, gap: int) -> DataFrame:
     return df.groupBy(group).applyInPandas(keep, df.schema)
 
 
-def fold_ranges(counts: DataFrame, key: str, n: str, most: int) -> DataFrame:
-    """Consecutive key ranges of about ``most`` rows: (low, high, rows), from counts by key.
-
-    Keys are range-partitioned, and each partition is folded on its own, so that a range ends at a partition's end at the latest."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, low, high, total = [], None, None, 0
-        for batch in batches:
-            for k, c in zip(batch[key], batch[n], strict=True):
-                low, high, total = (k if low is None else low), k, total + int(c)
-                if total >= most:
-                    out.append((low, high, total))
-                    low, total = None, 0
-        if total:
-            out.append((low, high, total))
-        yield pd.DataFrame(out, columns=["low", "high", "rows"])
-
-    return counts.select(key, n).repartitionByRange(key).sortWithinPartitions(key).mapInPandas(fold, f"low {counts.schema[key].dataType.simpleString()}, high {counts.schema[key].dataType.simpleString()}, rows bigint")
+def key_ranges(counts: DataFrame, key: str, n: str, most: int) -> DataFrame:
+    """Consecutive key ranges of about ``most`` rows: (low, high, rows), from counts by key. A range ends where the running sum of rows
+    passes the next multiple of ``most``."""
+    placed = running_totals(counts.select(key, n), [F.col(key)], _upto=n)
+    return placed.groupBy(F.floor((F.col("_upto") - F.col(n)) / most).alias("_k")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.sum(n).alias("rows")).drop("_k")
 
 
 def chunked(df: DataFrame, order: str, size: int) -> DataFrame:
-    """A chunk number and a place in it for each row in order, as sitemaps need, without one task seeing all rows.
-
-    Rows are range-partitioned; the sizes of partitions (one row each) give every partition its first number."""
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    numbered = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    first = parts.groupBy("_part").agg(F.count("*").alias("_rows"))
-    first = first.select("_part", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    number = F.col("_first") + F.col("_n") - 1
-    return numbered.join(F.broadcast(first), "_part").withColumn("chunk", F.floor(number / size).cast("bigint")).withColumn("place", (number % size).cast("bigint")).drop("_part", "_n", "_first")
+    """A chunk number and a place in it for each row in order, as sitemaps need, without one task seeing all rows."""
+    number = F.col("_number") - 1
+    return running_totals(df, [F.col(order)], _number=F.lit(1)).withColumn("chunk", F.floor(number / size).cast("bigint")).withColumn("place", (number % size).cast("bigint")).drop("_number")

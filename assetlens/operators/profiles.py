@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetlens.operators.ordered import in_parts
+
 from assetlens.operators.ordered import islands
 
 
@@ -91,9 +93,15 @@ def amount_links(records: DataFrame, block: list[str], id_: str, amount: str) ->
 
     Amounts in order are linked at any threshold just as all pairs of the block are: if two amounts are near enough, so are all that
     lie between them. So n - 1 links do, and a record's nearest mate is one of its two neighbours. Amounts must be positive."""
-    w = Window.partitionBy(*block).orderBy(amount, id_)
-    linked = records.filter(F.col(amount) > 0).select(F.col(id_).alias("b"), F.lag(id_).over(w).alias("a"), F.col(amount).alias("_y"), F.lag(amount).over(w).alias("_x"))
-    return linked.filter("a is not null").select("a", "b", F.round(F.col("_x") / (F.col("_y") + 1e-9), 6).alias("p"))
+    order = [*map(F.col, block), F.col(amount), F.col(id_)]
+    parts = in_parts(records.filter(F.col(amount) > 0).select(*block, F.col(id_).alias(id_), F.col(amount).alias(amount)), order)
+    w = Window.partitionBy("_part", *block).orderBy(amount, id_)
+    placed = parts.select("_part", *block, F.col(id_).alias("b"), F.col(amount).alias("_y"), F.lag(F.struct(F.col(id_).alias("a"), F.col(amount).alias("x"))).over(w).alias("_before"))
+    # a block that goes on from one range to the next: the last record there and the first one here
+    last = parts.groupBy("_part", *block).agg(F.max_by(F.struct(F.col(id_).alias("a"), F.col(amount).alias("x")), F.struct(amount, id_)).alias("_last"))
+    over = last.select("_part", *block, F.lag("_last").over(Window.partitionBy(*block).orderBy("_part")).alias("_over"))
+    linked = placed.join(over, ["_part", *block], "left").withColumn("_before", F.coalesce("_before", "_over")).filter("_before is not null")
+    return linked.select(F.col("_before.a").alias("a"), "b", F.round(F.col("_before.x") / (F.col("_y") + 1e-9), 6).alias("p"))
 
 
 def rare_and_rich(persons: DataFrame, name_ranks: DataFrame, surname_ranks: DataFrame, name: str, surname: str, income: str, most: float, least: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetlens.operators.ordered import running_totals
+
 
 def with_children(rows: DataFrame, key: str, **children: tuple[DataFrame, list[str]]) -> DataFrame:
     """rows with a sorted array of structs for each child table (joined by key); none gives an empty array. Children are grouped before they meet the rows."""
@@ -89,7 +91,7 @@ def drawn(rows: DataFrame, id_: str, weight: str, n: int, seed: str) -> DataFram
 
     Every id owns a range of the running sum of weights; ranges and draws meet by cells of the sum, so that no task sees all of them."""
     totals = rows.groupBy(F.col(id_)).agg(F.sum(weight).cast("bigint").alias("_w")).filter("_w > 0")
-    placed = running_over_all(totals, id_, "_w")
+    placed = running_totals(totals, [F.col(id_)], _to="_w").withColumn("_from", F.col("_to") - F.col("_w"))
     whole = placed.agg(F.max("_to")).first()[0] or 0
     width = max(1, whole // 4096)
     cells = placed.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor((F.col("_to") - 1) / width))))
@@ -98,21 +100,6 @@ def drawn(rows: DataFrame, id_: str, weight: str, n: int, seed: str) -> DataFram
     return draws.join(cells, "_cell").filter("_from <= _at and _at < _to").select("draw", id_)
 
 
-def running_over_all(rows: DataFrame, order: str, value: str) -> DataFrame:
-    """rows with _from and _to, the running sum of value before and after each row, in order of a unique numeric key.
-
-    Keys are cut into ranges by approximate quantiles; sums of ranges (a row each) give every range its start, so that no task sees all rows."""
-    edges = sorted(set(rows.approxQuantile(order, [k / 64 for k in range(1, 64)], 0.01)))
-    part = F.lit(0)
-    for e in edges:
-        part = part + F.when(F.col(order) > e, 1).otherwise(0)
-    cut = rows.withColumn("_part", part)
-    starts = cut.groupBy("_part").agg(F.sum(value).alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    own = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("_start") + F.sum(value).over(own)
-    return cut.join(F.broadcast(starts), "_part").withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col(value)).drop("_part", "_start")
-
-
 def merged_epochs(before: DataFrame, now: DataFrame, key: str, first: str) -> DataFrame:
     """All keys of both epochs: the row of now where there is one, else that of before; ``first`` is the earlier of both."""
     newer = now.withColumn("_new", F.lit(1)).unionByName(before.withColumn("_new", F.lit(0)))

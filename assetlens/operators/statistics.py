@@ -16,9 +16,29 @@ def above_minimum_wage(facts: DataFrame, wages: DataFrame, months: int = 12) ->
     return facts.join(F.broadcast(wages), "year").filter(F.col("income") / months >= F.col("min_wage"))
 
 
+def quantile(rows: DataFrame, keys: list[str], value: str, p: float, out: str) -> DataFrame:
+    """The exact quantile (interpolated) of each group, of groups of any size; null values don't count.
+
+    A sketch gives two values around it, between which two percent of a large group's rows lie; rows below are counted, and only those
+    between are put in order. No group's values are held together."""
+    rows = rows.filter(F.col(value).isNotNull()).select(*keys, value)
+    around = rows.groupBy(*keys).agg(F.percentile_approx(value, [max(0.0, p - 0.01), min(1.0, p + 0.01)], 10_000).alias("_q"), F.count("*").alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"))
+    small = F.col("_n") < 1000
+    around = around.select(*keys, "_n", F.when(small, F.col("_min")).otherwise(F.col("_q")[0]).alias("_low"), F.when(small, F.col("_max")).otherwise(F.col("_q")[1]).alias("_high"))
+    near = rows.join(around, keys).filter(F.col(value) <= F.col("_high"))
+    below = F.col(value) < F.col("_low")
+    first = near.groupBy(*keys).agg(F.count_if(below).alias("_below"))
+    placed = near.filter(~below).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).join(first, keys)
+    at = p * (F.col("_n") - 1)
+    k = F.col("_k") + F.col("_below") - 1 - F.floor(at)
+    two = placed.withColumn("_k", k).filter(F.col("_k").isin(0, 1)).groupBy(*keys).agg(F.max("_n").alias("_n"), F.max(F.when(F.col("_k") == 0, F.col(value))).alias("_a"), F.max(F.when(F.col("_k") == 1, F.col(value))).alias("_b"))
+    return two.select(*keys, F.when(at == F.floor(at), F.col("_a")).otherwise((F.floor(at) + 1 - at) * F.col("_a") + (at - F.floor(at)) * F.col("_b")).alias(out))
+
+
 def group_medians(facts: DataFrame, *keys: str) -> DataFrame:
     """Median and count of incomes, and distinct declarants, of each group."""
-    return facts.groupBy(*keys).agg(F.round(F.median("income"), 2).alias("median_income"), F.count("*").alias("n_incomes"), F.countDistinct("person_id").alias("n_declarants"))
+    counts = facts.groupBy(*keys).agg(F.count("*").alias("n_incomes"), F.countDistinct("person_id").alias("n_declarants"))
+    return counts.join(quantile(facts, list(keys), "income", 0.5, "_m").withColumn("median_income", F.round("_m", 2)).drop("_m"), list(keys), "left")
 
 
 def yearly_incomes(facts: DataFrame, *group: str) -> DataFrame:
@@ -127,7 +147,7 @@ def pivot_shares(df: DataFrame, row: str, column: str, values: list) -> DataFram
 def rank_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Spearman's rho of all pairs of columns (average ranks for ties), over rows without nulls.
 
-    Ranks are made from counts of distinct values, so that no task sorts all rows."""
+    The library's own correlation ranks each column by a sort over ranges."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
 

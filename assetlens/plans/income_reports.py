@@ -71,8 +71,8 @@ def a4_persons_by_office(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_regionkey AS region_id, count(*) AS n_offices, array_to_string(list_sort(list(n_name))[1:5], ';') AS examples FROM nation GROUP BY n_regionkey")
 def a5_child_offices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.slice(F.array_sort(F.collect_list("office")), 1, 5)
-    return offices(spark, sf_dir).groupBy("region_id").agg(F.count("*").alias("n_offices"), F.array_join(names, ";").alias("examples"))
+    first = ordered.top_places(offices(spark, sf_dir), ["region_id"], [F.col("office")], 5)
+    return first.groupBy("region_id").agg(F.max("competitors").alias("n_offices"), F.array_join(F.array_sort(F.collect_list("office")), ";").alias("examples"))
 
 
 @query(f"""WITH {PAID_SQL}, s AS (SELECT office_id, year, round(median(income), 2) AS median_income, count(*) AS n_incomes, count(DISTINCT person_id) AS n_declarants FROM paid GROUP BY office_id, year),
@@ -87,8 +87,11 @@ def a6_office_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM facts JOIN nation ON n_nationkey = office_id GROUP BY ALL""")
 def a7_region_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = statistics.merged_regions(facts(spark, sf_dir).join(offices(spark, sf_dir), "office_id"), "region_id", {4: 3})
-    spread = F.percentile("income", 0.9) / F.percentile("income", 0.1)
-    return rows.groupBy("region_id", "year").agg((F.median("income") / 12).cast("int").alias("median_month"), F.count("*").alias("n"), F.round(spread, 3).alias("inequality"))
+    key = ["region_id", "year"]
+    out = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    for p, name in ((0.5, "m"), (0.9, "high"), (0.1, "low")):
+        out = out.join(statistics.quantile(rows, key, "income", p, name), key)
+    return out.select(*key, (F.col("m") / 12).cast("int").alias("median_month"), "n", F.round(F.col("high") / F.col("low"), 3).alias("inequality"))
 
 
 @query(f"""WITH {SECTIONS_SQL} SELECT count(DISTINCT section_id) AS sections, count(DISTINCT person_id) AS persons,

@@ -203,13 +203,16 @@ def w9_w14_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.carried_forward(rows, ["user_id"], order, "purchase", "last_purchase").select("user_id", "event_id", F.round("total", 4).alias("total"), "last_purchase")
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
-    u AS (SELECT unnest(ws) AS w FROM w), b AS (SELECT unnest(list_transform(list_zip(ws[:-2], ws[2:]), lambda z: z[1] || '_' || z[2])) AS g FROM w WHERE len(ws) > 1), uc AS (SELECT w, count(*) AS n FROM u GROUP BY w), bc AS (SELECT g, count(*) AS n FROM b GROUP BY g HAVING count(*) >= 5)
-    SELECT g AS bigram, bc.n AS n, CAST(trunc(1e6 * bc.n * ln(bc.n / (CAST(x.n AS DOUBLE) * y.n))) AS BIGINT) AS information FROM bc JOIN uc x ON x.w = split_part(g, '_', 1) JOIN uc y ON y.w = split_part(g, '_', 2)""")
+@query("""WITH w AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT unnest(ws) AS a, unnest(list_append(ws[2:], NULL)) AS b FROM w WHERE len(ws) > 0), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY a, b), u AS (SELECT a AS w, sum(n) AS n FROM c GROUP BY a)
+    SELECT c.a || '_' || c.b AS bigram, c.n AS n, CAST(trunc(1e6 * c.n * ln(c.n / (CAST(x.n AS DOUBLE) * y.n))) AS BIGINT) AS information FROM c JOIN u x ON x.w = c.a JOIN u y ON y.w = c.b WHERE c.b IS NOT NULL AND c.n >= 5""")
 def a37_bigram_information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").filter("text is not null").select(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "").alias("ws"))
-    single = words.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
-    pairs = words.select(F.explode(T.bigrams(F.col("ws"))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n")).filter("n >= 5")
-    pairs = pairs.withColumns({"w1": F.substring_index("bigram", "_", 1), "w2": F.substring_index("bigram", "_", -1)})
-    both = pairs.join(single.select(F.col("w").alias("w1"), F.col("f").alias("f1")), "w1").join(single.select(F.col("w").alias("w2"), F.col("f").alias("f2")), "w2")
-    return both.select("bigram", "n", (F.lit(1e6) * F.col("n") * F.log(F.col("n") / (F.col("f1").cast("double") * F.col("f2")))).cast("bigint").alias("information"))
+    """Each word with the next one, counted once; a word's own count is the sum over what follows it (nothing, at a text's end)."""
+    ws = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    words = table(spark, sf_dir, "documents").filter("text is not null").select(ws.alias("ws")).filter(F.size("ws") > 0)
+    following = F.concat(F.slice("ws", 2, F.size("ws")), F.array(F.lit(None).cast("string")))
+    pairs = words.select(F.explode(F.arrays_zip(F.col("ws").alias("a"), following.alias("b"))).alias("p"))
+    counts = graph.cut(pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n")))
+    single = counts.groupBy("a").agg(F.sum("n").alias("f"))
+    often = counts.filter("b is not null and n >= 5").join(single.withColumnRenamed("f", "f1"), "a").join(single.select(F.col("a").alias("b"), F.col("f").alias("f2")), "b")
+    return often.select(F.concat_ws("_", "a", "b").alias("bigram"), "n", (F.lit(1e6) * F.col("n") * F.log(F.col("n") / (F.col("f1").cast("double") * F.col("f2")))).cast("bigint").alias("information"))

@@ -184,9 +184,10 @@ def o6_stable_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").filter(F.pmod(F.xxhash64("o_orderkey", F.lit(1)), F.lit(10)) == 0)
 
 
-@query()
+@query("""WITH c AS (SELECT c_name, count(*) AS n FROM customer GROUP BY c_name), u AS (SELECT *, (sum(n) OVER (ORDER BY c_name) - n) // 500 AS k FROM c)
+    SELECT min(c_name) AS low, max(c_name) AS high, CAST(sum(n) AS BIGINT) AS rows FROM u GROUP BY k""")
 def w8_balanced_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.fold_ranges(table(spark, sf_dir, "customer").groupBy("c_name").agg(F.count("*").alias("n")), "c_name", "n", 500)
+    return ordered.key_ranges(table(spark, sf_dir, "customer").groupBy("c_name").agg(F.count("*").alias("n")), "c_name", "n", 500)
 
 
 @query("SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")

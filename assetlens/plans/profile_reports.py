@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlens.functions import urls
-from assetlens.operators import ordered, profiles
+from assetlens.operators import ordered, profiles, statistics
 from assetlens.registry import query
 from assetlens.sources.tables import SECTIONS_SQL, sections, table
 
@@ -53,7 +53,7 @@ def a45_mean_of_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians of quarters, their mean by office and year, cut to a whole number."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"), "o_totalprice")
     rows = orders.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("office_id")), "c_custkey")
-    return rows.groupBy("office_id", "year", "quarter").agg(F.median("o_totalprice").alias("m")).groupBy("office_id", "year").agg(F.avg("m").cast("bigint").alias("average"))
+    return statistics.quantile(rows, ["office_id", "year", "quarter"], "o_totalprice", 0.5, "m").groupBy("office_id", "year").agg(F.avg("m").cast("bigint").alias("average"))
 
 
 @query("""WITH s AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'A' AND l_linestatus = 'F') AS hits, count(*) FILTER (l_returnflag = 'A') AS said, count(*) FILTER (l_linestatus = 'F') AS golden FROM lineitem GROUP BY 1)
@@ -132,5 +132,5 @@ def a31_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SECTIONS_SQL}, m AS (SELECT office_id, year, median(income) AS m FROM sections GROUP BY ALL)
     SELECT office_id, {", ".join(f"round(max(m) FILTER (year = {y}), 2) AS y{y}" for y in range(1992, 1999))} FROM m GROUP BY 1""")
 def k8_pivoted_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = sections(spark, sf_dir).groupBy("office_id", "year").agg(F.median("income").alias("m")).groupBy("office_id").pivot("year", list(range(1992, 1999))).agg(F.max("m"))
+    wide = statistics.quantile(sections(spark, sf_dir), ["office_id", "year"], "income", 0.5, "m").groupBy("office_id").pivot("year", list(range(1992, 1999))).agg(F.max("m"))
     return wide.select("office_id", *(F.round(F.col(f"`{y}`"), 2).alias(f"y{y}") for y in range(1992, 1999)))
