@@ -54,7 +54,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 #: Bytes of text that a shuffle partition is planned for, and buckets that it is cut into (a bucket is held in memory as a whole).
-PART_BYTES, BUCKETS = 64 << 20, 8
+PART_BYTES, BUCKETS = 32 << 20, 2
 
 
 def layout(docs: DataFrame) -> tuple[int, int]:

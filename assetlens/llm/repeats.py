@@ -31,11 +31,13 @@ CHUNK = 1 << 20
 HOT, CROWD = 16, 4096
 CONTEXT, DONE, OPEN, CLASS = 0, 1, 2, 3
 CONTEXT_TYPES = ["<u4", "<i8", "<u8", "<u4", "u1", "u1", "u1"]  # seed, doc, sub, start, windows, anchor, whether its batch opened the seed
-SPAN_TYPES = ["<i8", "<u8", "<u4", "<u4"]  # doc, sub, start, end
 CLASS_TYPES = ["<u8", "<u8", "<i8", "<u8", "<u4"]  # string (128 bits), doc, sub, start
 OPEN_TYPES = ["<i8", "<u8", "<u4", "u1", "u1", "u1"]  # doc, sub, start, windows, anchor, whether the seed is crowded
 PACKED = "bucket int, kind int, rows binary"
 PACKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("rows", pa.binary())])
+#: A span (DONE) as a row of its own, by its document's bucket; or packed rows (CLASS).
+SPANS = f"{PACKED}, doc bigint, sub bigint, start bigint, end bigint"
+SPANS_SCHEMA = pa.schema([*PACKED_SCHEMA, ("doc", pa.int64()), ("sub", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 _LOW = np.uint64((1 << 21) - 1)
 
 
@@ -308,10 +310,9 @@ def close(classes: DataFrame, window: int, by_doc: bool, shape: tuple[int, int])
         if len(doc):
             order, _, repeat, _ = firsts([low, high], doc, sub, start, by_doc)
             pick = order[repeat]
-            if out := packed_spans(*runs(doc[pick], sub[pick], start[pick].astype(np.int64), window), n_docs):
-                yield _rows(out)
+            yield spans(*runs(doc[pick], sub[pick], start[pick].astype(np.int64), window), n_docs)
 
-    return classes.repartition(parts, "bucket").mapInArrow(last, PACKED)
+    return classes.repartition(parts, "bucket").mapInArrow(last, SPANS)
 
 
 def runs(doc, sub, start, window: int) -> list[np.ndarray]:
@@ -325,23 +326,32 @@ def runs(doc, sub, start, window: int) -> list[np.ndarray]:
     return [doc[cut], sub[cut], start[cut], start[last] + window]
 
 
-def packed_spans(doc, sub, start, end, n_docs: int) -> list[tuple[int, int, bytes]]:
-    return [(b, DONE, r) for b, r in split_by(bucket_of(doc, sub, n_docs), _typed([doc, sub, start, end], SPAN_TYPES))]
+def widened(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """The batch with the schema's other columns, null."""
+    have = dict(zip(batch.schema.names, batch.columns, strict=True))
+    return pa.RecordBatch.from_arrays([have.get(f.name, pa.nulls(batch.num_rows, f.type)) for f in schema], schema=schema)
+
+
+def spans(doc, sub, start, end, n_docs: int, schema: pa.Schema = SPANS_SCHEMA) -> pa.RecordBatch:
+    """Rows (DONE) of spans."""
+    columns = [bucket_of(doc, sub, n_docs).astype(np.int32), np.full(len(doc), DONE, np.int32), doc.astype(np.int64), sub.astype(np.uint64).view(np.int64), start.astype(np.int64), end.astype(np.int64)]
+    return widened(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "kind", "doc", "sub", "start", "end"]), schema)
 
 
 def packed_classes(low, high, doc, sub, start, n: int) -> list[tuple[int, int, bytes]]:
     return [(b, CLASS, r) for b, r in split_by((low % np.uint64(n)).astype(np.int64), _typed([low, high, doc, sub, start], CLASS_TYPES))]
 
 
-def finish(docs_z: DataFrame, spans: DataFrame, row: Callable, parts: int) -> DataFrame:
+def finish(docs_z: DataFrame, found: DataFrame, row: Callable, parts: int) -> DataFrame:
     """For every document: doc_id, n_units, the union of its spans, and what is kept; row(text as bytes, starts, ends) gives n_units and kept."""
     types = {"n_units": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         doc, sub, column = unsqueezed(left)
-        d, s, start, end = unpack(right["rows"].to_pylist(), SPAN_TYPES)
+        d, s, start, end = (right[c].to_numpy() for c in ("doc", "sub", "start", "end"))
+        s = s.view(np.uint64)
         order = np.lexsort((start, s, d))
-        d, s, start, end = d[order], s[order], start[order].astype(np.int64), end[order].astype(np.int64)
+        d, s, start, end = d[order], s[order], start[order], end[order]
         cuts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1])][: len(d)])
         at = {(int(d[a]), int(s[a])): (a, b) for a, b in zip(cuts, [*cuts[1:], len(d)][: len(cuts)], strict=True)}
         result = []
@@ -352,5 +362,4 @@ def finish(docs_z: DataFrame, spans: DataFrame, row: Callable, parts: int) -> Da
             result.append((n, [{"start": x, "end": y} for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], kept))
         return pa.table({"doc_id": left["doc_id"].combine_chunks()} | {name: pa.array([r[k] for r in result], kind) for k, (name, kind) in enumerate(types.items())})
 
-    spans = spans.filter(F.col("kind") == DONE).select("bucket", "rows")
-    return by_bucket(docs_z, spans, parts).applyInArrow(both, "doc_id bigint, n_units bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return by_bucket(docs_z, found.filter(F.col("kind") == DONE).select("bucket", "doc", "sub", "start", "end"), parts).applyInArrow(both, "doc_id bigint, n_units bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")

@@ -28,9 +28,9 @@ from assetlens.llm import repeats as R
 from assetlens.llm.common import checkpoint, layout, table, unpack
 
 SEED = 16
-PLACE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("rows", pa.binary()), ("seed", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int32()), ("words", pa.binary())])
-PLACE_DDL = f"{R.PACKED}, seed bigint, doc bigint, sub bigint, start bigint, windows int, anchor int, words binary"
-#: A row of PLACE that is a place; others are packed rows.
+PLACE = pa.schema([*R.SPANS_SCHEMA, ("seed", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int32()), ("words", pa.binary())])
+PLACE_DDL = f"{R.SPANS}, seed bigint, windows int, anchor int, words binary"
+#: A row of PLACE that is a place; others are spans and packed rows.
 SEEDED = 9
 
 
@@ -97,8 +97,8 @@ def _codes(units: R.Words, at: np.ndarray, end: np.ndarray) -> np.ndarray:
     return codes
 
 
-def _spans(place, t, doc, sub, start, window: int, n_docs: int) -> list[tuple[int, int, bytes]]:
-    return R.packed_spans(*R.runs(doc[place], sub[place], start[place] + t, window), n_docs)
+def _spans(place, t, doc, sub, start, window: int, n_docs: int, schema: pa.Schema = R.SPANS_SCHEMA) -> pa.RecordBatch:
+    return R.spans(*R.runs(doc[place], sub[place], start[place] + t, window), n_docs, schema)
 
 
 def repeated_word_spans(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -117,7 +117,7 @@ def repeated_word_spans(docs: DataFrame, window: int = 50) -> DataFrame:
         seeds, low, high = (np.zeros(k, np.uint64) for k in (len(at), 0, 0))
         doc, sub = doc[row], sub[row]
         hot = np.flatnonzero(crowded)
-        packed: list[tuple[int, int, bytes]] = []
+        out: list[pa.RecordBatch] = []
         with np.errstate(over="ignore"):
             runs = [(lo, hi, R.Sums(units(lo, hi)), R.Sums(units(lo, hi), 1)) for lo, hi, *_ in R.chunks(units.offsets, window)]
             for lo, hi, sums, _ in runs:
@@ -125,36 +125,31 @@ def repeated_word_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                 seeds[pick] = sums(at[pick] + anchor[pick] - lo, at[pick] + anchor[pick] - lo + seed)
             if len(hot):
                 again, t, stay, s = extended(_codes(units, at[hot], end[hot]), at[hot], end[hot], np.unique(seeds[hot], return_inverse=True)[1], doc[hot], sub[hot], start[hot], windows[hot], anchor[hot], window)
-                packed += _spans(hot[again], t, doc, sub, start, window, n)
+                out.append(_spans(hot[again], t, doc, sub, start, window, n, PLACE))
                 stay = hot[stay]
                 first = at[stay] + s
                 low, high = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)
                 for lo, hi, *sums in runs:
                     pick = np.flatnonzero((first >= lo) & (first + window <= hi))
                     low[pick], high[pick] = (x(first[pick] - lo, first[pick] - lo + window) for x in sums)
-                packed += R.packed_classes(low, high, doc[stay], sub[stay], start[stay] + s, n)
+                out.append(R.widened(R._rows(R.packed_classes(low, high, doc[stay], sub[stay], start[stay] + s, n)), PLACE))
         cold = np.flatnonzero(crowded == 0)
         raw = units.raw.tobytes()
         words = [b" ".join(raw[a:b].split()) for a, b in zip(units.start[at[cold]].tolist(), units.end[end[cold] - 1].tolist(), strict=True)]
-        out = []
         if len(cold):
             bucket = (seeds[cold] % np.uint64(n)).astype(np.int32)
-            none = pa.nulls(len(cold), pa.binary())
-            columns = [pa.array(bucket), pa.array(np.full(len(cold), SEEDED, np.int32)), none, pa.array(seeds[cold].view(np.int64)), pa.array(doc[cold]), pa.array(sub[cold].view(np.int64)), pa.array(start[cold])]
-            out.append(pa.RecordBatch.from_arrays([*columns, pa.array(windows[cold], pa.int32()), pa.array(anchor[cold], pa.int32()), pa.array(words, pa.binary())], schema=PLACE))
-        if packed:
-            rows = R._rows(packed)
-            out.append(pa.RecordBatch.from_arrays([*rows.columns, *(pa.nulls(rows.num_rows, f.type) for f in list(PLACE)[3:])], schema=PLACE))
+            columns = {"bucket": bucket, "kind": np.full(len(cold), SEEDED, np.int32), "doc": doc[cold], "sub": sub[cold].view(np.int64), "start": start[cold], "seed": seeds[cold].view(np.int64), "windows": windows[cold].astype(np.int32), "anchor": anchor[cold].astype(np.int32)}
+            out.append(R.widened(pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), pa.array(words, pa.binary())], names=[*columns, "words"]), PLACE))
         return out
 
     def meet(rows: pa.Table) -> pa.Table:
         """Extends all places of a bucket's seeds word by word; closes its classes of crowded seeds; spans pass through."""
         kind = rows["kind"].to_numpy()
-        out = [(b, k, r) for b, k, r in zip(rows["bucket"].to_pylist(), kind.tolist(), rows["rows"].to_pylist(), strict=True) if k == R.DONE]
+        out = [b.cast(R.SPANS_SCHEMA) for b in rows.filter(pa.array(kind == R.DONE)).select(R.SPANS_SCHEMA.names).to_batches()]
         low, high, doc, sub, start = unpack(rows.filter(pa.array(kind == R.CLASS))["rows"].to_pylist(), R.CLASS_TYPES)
         order, _, repeat, _ = R.firsts([low, high], doc, sub, start, True)
         pick = order[repeat]
-        out += R.packed_spans(*R.runs(doc[pick], sub[pick], start[pick].astype(np.int64), window), n)
+        out.append(R.spans(*R.runs(doc[pick], sub[pick], start[pick].astype(np.int64), window), n))
         places = rows.filter(pa.array(kind == SEEDED))
         if places.num_rows:
             words = pc.split_pattern(places["words"].combine_chunks().cast(pa.large_string()), " ")
@@ -163,11 +158,11 @@ def repeated_word_spans(docs: DataFrame, window: int = 50) -> DataFrame:
             seeds, doc, sub, start = (places[c].to_numpy() for c in ("seed", "doc", "sub", "start"))
             windows, anchor = (places[c].to_numpy().astype(np.int64) for c in ("windows", "anchor"))
             place, t, *_ = extended(codes, offsets[:-1] - offsets[0], offsets[1:] - offsets[0], np.unique(seeds, return_inverse=True)[1], doc, sub.view(np.uint64), start, windows, anchor, window)
-            out += _spans(place, t, doc, sub.view(np.uint64), start, window, n)
-        return pa.Table.from_batches([R._rows(out)], R.PACKED_SCHEMA)
+            out.append(_spans(place, t, doc, sub.view(np.uint64), start, window, n))
+        return pa.Table.from_batches(out, R.SPANS_SCHEMA)
 
     places = R.with_open(docs_z, found, cut, PLACE, PLACE_DDL, parts)
-    spans = places.repartition(parts, "bucket").groupBy("bucket").applyInArrow(meet, R.PACKED)
+    spans = places.repartition(parts, "bucket").groupBy("bucket").applyInArrow(meet, R.SPANS)
 
     def row(text: bytes, starts: list[int], ends: list[int]) -> tuple[int, bytes]:
         words = text.split()

@@ -180,17 +180,15 @@ def repeated_byte_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         if not whole.num_rows:
             return
         spans, edges = sorted_bucket(whole, length, seed)
-        out = R.packed_spans(*spans, n_docs)
+        yield R.spans(*spans, n_docs)
         if edges:
-            out += R.packed_classes(*edges, n_docs)
-        if out:
-            yield R._rows(out)
+            yield R.widened(R._rows(R.packed_classes(*edges, n_docs)), R.SPANS_SCHEMA)
 
     # bytes of all open suffixes: a run of them has 23 bytes in found, and about six times as many of text
     size = found.filter(F.col("kind") == R.OPEN).agg(F.sum(F.length("rows"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-size * 6 // BUCKET_BYTES))
     cut_out = R.with_open(docs_z, found, cut, schema, ddl, parts)
-    sorted_ = cut_out.repartitionByRange(buckets, "seed", "doc", "sub", "start").mapInArrow(sort, R.PACKED)
+    sorted_ = cut_out.repartitionByRange(buckets, "seed", "doc", "sub", "start").mapInArrow(sort, R.SPANS)
     closed = R.close(sorted_, length, False, shape)
 
     def row(text: bytes, starts: list[int], ends: list[int]) -> tuple[int, bytes]:
