@@ -16,18 +16,21 @@ def trigram_counts(labelled: DataFrame, label: str, value: str) -> DataFrame:
 def predicted(values: DataFrame, id_: str, value: str, counts: DataFrame, label: str) -> DataFrame:
     """The label with the least -log prior - sum of log((f + 1e-9) / N) over a value's trigrams; ties to the smaller label.
 
-    Every gram needs a row for each label, known or not, so labels (a fixed, small vocabulary of fields) are crossed into the grams'
-    counts once; the join with values is by gram."""
+    A label pays log(1e-9 / N) for each gram that it doesn't know, so its cost is that of knowing none, less what its known grams save:
+    only labels that share a gram with the value are joined, and of all others the one with the least N stands for the rest."""
+    unknown = lambda n: -F.log(F.lit(1e-9) / n)
     totals = counts.groupBy(label).agg(F.sum("f").alias("n"))
-    everything = totals.agg(F.sum("n")).first()[0] or 1
-    # one row per field of the vocabulary, some thirty at most
-    labels = {r[label]: r["n"] for r in totals.limit(1000).collect()}
-    wide = counts.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct(F.col(label), F.col("f")))).alias("fs"))
-    grams = values.select(id_, F.explode(trigrams(F.col(value))).alias("gram")).join(wide, "gram", "left")
-    costs = {k: F.round(F.sum(-F.log((F.coalesce(F.col("fs")[F.lit(k)], F.lit(0)) + 1e-9) / F.lit(float(n)))) - F.log(F.lit(n / everything)), 6) for k, n in labels.items()}
-    scored = grams.groupBy(id_).agg(*(c.alias(f"c{i}") for i, c in enumerate(costs.values())))
-    best = F.array_min(F.array(*(F.struct(F.col(f"c{i}").alias("cost"), F.lit(k).alias("label")) for i, k in enumerate(costs))))
-    return scored.select(id_, best["label"].alias("label"), best["cost"].alias("cost"))
+    everything = totals.agg(F.sum("n").alias("_all"))
+    least = F.broadcast(totals.agg(F.min(F.struct("n", label)).alias("_least")))
+    grams = values.select(id_, F.explode(trigrams(F.col(value))).alias("gram"))
+    sizes = grams.groupBy(id_).agg(F.count("*").alias("_g"))
+    known = counts.join(totals, label).select("gram", label, (-F.log((F.col("f") + 1e-9) / F.col("n")) - unknown(F.col("n"))).alias("_saves"))
+    shared = grams.join(known, "gram").groupBy(id_, label).agg(F.sum("_saves").alias("_saves")).join(totals, label)
+    others = sizes.join(least).select(id_, F.col("_least")[label].alias(label), F.lit(0.0).alias("_saves"), F.col("_least.n").alias("n"))
+    both = shared.select(id_, label, "_saves", "n").unionByName(others).join(sizes, id_).join(F.broadcast(everything))
+    cost = F.round(F.col("_g") * unknown(F.col("n")) - F.log(F.col("n") / F.col("_all")) + F.col("_saves"), 6)
+    best = both.groupBy(id_).agg(F.min(F.struct(cost.alias("cost"), F.col(label).alias("label"))).alias("_best"))
+    return best.select(id_, F.col("_best.label").alias("label"), F.col("_best.cost").alias("cost"))
 
 
 def column_vote(predictions: DataFrame, column: str, label: str) -> DataFrame:

@@ -12,7 +12,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder that the cluster names in spark.checkpoint.dir; only where none is set (tests), in one of our own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -41,14 +46,17 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("a").alias("id"), F.col("b").alias("_root")), "id", "left").select("id", F.coalesce("_root", "id").alias("cluster"))
 
 
-def top_parents(tree: DataFrame, stops: Column, depth: int = 5) -> DataFrame:
-    """tree (id, parent_id, ...) to (id, top_id): the parent's parent and so on, at most ``depth`` times; ``stops`` holds for nodes
-    that are tops of their own."""
+def top_parents(tree: DataFrame, stops: Column, rounds: int = 40) -> DataFrame:
+    """tree (id, parent_id, ...) to (id, top_id): the parent's parent and so on, to the top of trees of any depth (2 ** rounds);
+    ``stops`` holds for nodes that are tops of their own. Every round doubles the way that is known."""
     own = tree.select("id", F.when(stops, F.lit(None)).otherwise(F.col("parent_id")).alias("up"))
-    found = own.select("id", F.coalesce("up", "id").alias("top_id"))
-    for _ in range(depth - 1):
-        up = own.select(F.col("id").alias("top_id"), "up")
-        found = found.join(up, "top_id", "left").select("id", F.coalesce("up", "top_id").alias("top_id"))
+    found = cut(own.select("id", F.coalesce("up", "id").alias("top_id")))
+    for _ in range(rounds):
+        further = found.select(F.col("id").alias("top_id"), F.col("top_id").alias("_next"))
+        after = cut(found.join(further, "top_id", "left").select("id", F.coalesce("_next", "top_id").alias("top_id"), (F.col("_next") != F.col("top_id")).alias("_moved")))
+        found = after.select("id", "top_id")
+        if after.filter("_moved").isEmpty():
+            break
     return found
 
 

@@ -28,7 +28,7 @@ def page_frequency(log: DataFrame, least: int = 3) -> DataFrame:
     """Requests of section and person pages by people: record type, id and frequency."""
     place = r"^/(section|person)/(\d+)/?$"
     good = log.filter((F.col("method") == "GET") & (F.col("status") == 200) & ~F.col("agent").rlike(BOTS) & F.col("path").rlike(place))
-    return good.groupBy(F.regexp_extract("path", place, 1).alias("record_type"), F.regexp_extract("path", place, 2).cast("bigint").alias("record_id")).agg(F.count("*").alias("req_freq")).filter(F.col("req_freq") >= least)
+    return good.groupBy(F.regexp_extract("path", place, 1).alias("record_type"), F.regexp_extract("path", place, 2).try_cast("bigint").alias("record_id")).agg(F.count("*").alias("req_freq")).filter(F.col("req_freq") >= least)
 
 
 def remote_calls(spark: SparkSession, path: str, since: int = 0) -> DataFrame:
