@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlens.llm.common import table, utf8
+from assetlens.llm.common import give_back, table, utf8
 
 #: Pieces that one task packs.
 BLOCK = 20_000
@@ -33,6 +33,8 @@ BLOCK = 20_000
 REMEMBERED = 300_000
 #: The added tokens of byte_bpe_50k.json and their ids; the rank file has none.
 SPECIAL = {"<|endoftext|>": 50256}
+#: Bytes of token ids that a batch holds.
+HELD = 4 << 20
 _local = threading.local()
 
 
@@ -85,17 +87,19 @@ def pieces(docs: DataFrame, most: int = 2048, end_id: int = 0, ranks_file: str |
         for batch in batches:
             known = tokens(ranks_file, special)
             raw, offsets = utf8(batch.column(1))
-            raw, rows = raw.tobytes(), []
+            raw, rows, held = raw.tobytes(), [], 0
             for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 ids = known.of(raw[a:b].decode()) + end
                 n = len(ids) // 4
                 cuts = [0, *range(n % most or most, n + 1, most)] if n > most else [0, n]
                 view = memoryview(ids)
                 rows += [(doc, k, x, y - x, zlib.crc32(view[4 * x : 4 * y]), ids[4 * x : 4 * y] if keep_ids else None) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))]
-                if len(rows) > 20_000:
+                held += len(ids) if keep_ids else 0
+                if len(rows) > 20_000 or held > HELD:
                     yield _batch(rows)
-                    rows = []
+                    rows, held = [], 0
             yield _batch(rows)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary")
 
@@ -195,6 +199,7 @@ def pack_documents(docs: DataFrame, most: int = 2048, end_id: int = 0, ranks_fil
         rows = rows.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         k = key[0].as_py()
         sequence, offset = pack_block(rows["length"].to_numpy(), most) if k < n_blocks else (np.arange(rows.num_rows), np.zeros(rows.num_rows, np.int64))
+        give_back()
         return rows.drop_columns(["block"]).append_column("sequence_id", pa.array(sequence * (n_blocks + n_full) + k)).append_column("offset", pa.array(offset))
 
     return cut.groupBy("block").applyInArrow(each, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, sequence_id bigint, offset bigint")

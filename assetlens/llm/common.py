@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 
 import numpy as np
@@ -31,6 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store Spark has it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder."""
     shared_folder(df.sparkSession)
@@ -54,7 +62,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 #: Bytes of text that a shuffle partition is planned for, and buckets that it is cut into (a bucket is held in memory as a whole).
-PART_BYTES, BUCKETS = 32 << 20, 2
+PART_BYTES, BUCKETS = 64 << 20, 4
+
+
+def give_back() -> None:
+    """Freed memory goes back to the machine: Python workers are used again by later stages and would keep their largest need."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the usual C library of Linux has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def layout(docs: DataFrame) -> tuple[int, int]:

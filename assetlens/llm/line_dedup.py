@@ -31,7 +31,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StructType
 
 from assetlens.llm import repeats as R
-from assetlens.llm.common import checkpoint, layout, mix, split_by, table, unpack
+from assetlens.llm.common import checkpoint, give_back, layout, mix, split_by, table, unpack
 
 SPACE = " \t\n\v\f\r"
 #: Lines of one half that a task compares one by one before it lets all of them pass; and that it sends of one half.
@@ -181,6 +181,7 @@ def find(docs: DataFrame, shape: tuple[int, int]) -> DataFrame:
                 out += [(b, HALF, r) for b, r in split_by((x[send] % np.uint64(n)).astype(np.int64), R._typed([c[send] for c in (x, h, sig, d, s, k)], HALF_TYPES))]
             if out:
                 yield R._rows(out)
+        give_back()
 
     def settle(batches):
         lines, half = [], []
@@ -200,6 +201,7 @@ def find(docs: DataFrame, shape: tuple[int, int]) -> DataFrame:
         out += _places(doc[go], sub[go], k[go], R.OPEN, n)
         if out:
             yield R._rows(out)
+        give_back()
 
     return docs.mapInArrow(scan, R.PACKED).repartition(parts, "bucket").mapInArrow(settle, R.PACKED)
 
@@ -270,6 +272,7 @@ def near_lines(docs_z: DataFrame, found: DataFrame, shape: tuple[int, int]) -> D
             later = (doc[to] < doc[rows]) | (doc[to] == doc[rows]) & ((sub[to] < sub[rows]) | (sub[to] == sub[rows]) & (number[to] < number[rows]))
             out.append((rows[later], to[later]))
         a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+        give_back()
         return pa.Table.from_arrays([pa.array(c[i].view(np.int64) if c is sub else c[i].astype(np.int64)) for i in (a, b) for c in (doc, sub, number)], schema=pairs_schema)
 
     def near(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -309,6 +312,7 @@ def dedup_lines(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         for d, s, missing, text in zip(doc.tolist(), sub.tolist(), left["missing"].to_pylist(), column, strict=True):
             lines, out = [] if missing else text.as_py().decode().split("\n"), places.get((d, s), ())
             rows.append((len(lines), len(out), None if missing else "\n".join(x for k, x in enumerate(lines) if k not in out)))
+        give_back()
         own = {name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate((("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())))}
         return pa.table({"doc_id": left["doc_id"].combine_chunks()} | own | {name: left[name] for name in left.column_names[5:]})
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from assetlens.llm.common import ids, merged, mix, pack, split_by, unpack, utf8
+from assetlens.llm.common import give_back, ids, merged, mix, pack, split_by, unpack, utf8
 
 CHUNK = 1 << 20
 #: Contexts of one seed from which on a batch, and the whole corpus, calls it crowded.
@@ -229,6 +229,7 @@ def find(docs: DataFrame, units: type, window: int, seed: int, by_doc: bool, sha
             send = ~crowded | np.r_[True, seeds[1:] != seeds[:-1]]
             out = [(b, CONTEXT, r) for b, r in split_by(bucket[send], _typed([c[send] for c in (seeds, *columns, crowded)], CONTEXT_TYPES))]
             yield _rows(out + _opened(*(c[crowded] for c in (*columns, crowded)), n_docs))
+        give_back()
 
     def settle(batches):
         blobs = []
@@ -247,6 +248,8 @@ def find(docs: DataFrame, units: type, window: int, seed: int, by_doc: bool, sha
         go = (apart | crowded) & (columns[6] == 0)  # a witness was opened by its batch
         if out := _opened(*(c[go] for c in columns[1:6]), (crowded | (number > CROWD))[go], n_docs):
             yield _rows(out)
+        del columns
+        give_back()
 
     return docs.mapInArrow(scan, PACKED).repartition(parts, "bucket").mapInArrow(settle, PACKED)
 
@@ -263,6 +266,7 @@ def texts(docs: DataFrame, n_docs: int) -> DataFrame:
             packed = [z.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             own = [pa.array(bucket_of(doc, sub, n_docs), pa.int32()), batch.column(0).cast(pa.int64()), pa.array(sub.view(np.int64)), batch.column(1).is_null(), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(own + batch.columns[2:], names=["bucket", "doc_id", "sub", "missing", "z", *(f.name for f in rest)])
+        give_back()
 
     return docs.mapInArrow(squeeze, StructType([*StructType.fromDDL("bucket int, doc_id bigint, sub bigint, missing boolean, z binary"), *rest]))
 

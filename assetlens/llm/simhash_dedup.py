@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlens.llm.common import NULL_ID, checkpoint, mix, partitions, split_by, spread_join, table, unpack, utf8
+from assetlens.llm.common import NULL_ID, checkpoint, give_back, mix, partitions, split_by, spread_join, table, unpack, utf8
 from assetlens.llm.components import components
 
 WORD = 64
@@ -100,6 +100,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1) -> DataFrame
             if words > 1:
                 columns.append(pa.array([row.tobytes() for row in fps], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "bits"][: len(columns)])
+        give_back()
 
     schema = "doc_id bigint, fp bigint" + (", bits binary" if words > 1 else "")
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, schema)
@@ -242,7 +243,7 @@ def majority(words: list[np.ndarray], rows: np.ndarray, starts: np.ndarray, leng
     return out
 
 
-def links_below(key: np.ndarray, words: list[np.ndarray], within: int, at_once: int = 1 << 20, long_run: int | None = None, most: float = math.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def links_below(key: np.ndarray, words: list[np.ndarray], within: int, at_once: int = 1 << 18, long_run: int | None = None, most: float = math.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links (a, b, bits apart) between rows of one key, at least one of which is filed there, as a forest of names; and the rows of runs
     that are too long (more than ``most``) to be compared here. A key's last bit is set in rows that probe.
 
@@ -370,6 +371,7 @@ def links(nodes: DataFrame, bound: int = 4, within: int | None = None, words: in
                 probes = np.repeat(np.array([p for _, _, p in sent], np.uint32), [len(k) for k, _, _ in sent])
                 rows = packed(key, probes, [w[at] for w in some])
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "rows"])
+        give_back()
 
     found_schema = pa.schema([("bucket", pa.int32()), ("rows", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int32())])
 
@@ -387,6 +389,8 @@ def links(nodes: DataFrame, bound: int = 4, within: int | None = None, words: in
                     rows += packed(further, key[mine] & np.uint32(1), some)
                 none = pa.nulls(len(rows), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), none, none, pa.nulls(len(rows), pa.int32())], schema=found_schema)
+            del key, own
+            give_back()
 
         return each
 
@@ -420,40 +424,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bound: int = 4) -> DataFr
 def similar_texts(docs: DataFrame, shingle: int, similarity: float, words: int, bound: int, within: int) -> DataFrame:
     """(hash, group) of texts (hash, text) that are linked to another one, over any number of links; of equal hashes any text.
 
-    Fingerprints give candidates. Their similarity is taken from the texts, nearest candidates first: each group's
-    nearest one, for as long as that joins most groups; then one for each two groups; then all that are left between two."""
+    Fingerprints give candidates, of each key those of a spanning forest; the similarity of all of them is taken from the texts."""
     fps = checkpoint(fingerprints(docs.select(F.col("hash").alias("doc_id"), "text"), shingle, words).groupBy("doc_id").agg(*(F.first(c).alias(c) for c in (["fp", "bits"] if words > 1 else ["fp"]))))
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("hash"), *([F.first("bits").alias("bits")] if words > 1 else [])))
     between = links(nodes, bound, within, words, long_run=RUN)
     of = lambda side: nodes.select(F.col("fp").alias(side), F.col("hash").alias(f"{side}_text"))
     between = between.join(of("a"), "a").join(of("b"), "b").select(F.col("a_text").alias("a"), F.col("b_text").alias("b"), "apart")
     same = fps.join(nodes.select("fp", "hash"), "fp").filter(F.col("doc_id") != F.col("hash")).select(F.col("doc_id").alias("a"), F.col("hash").alias("b"), F.lit(0).alias("apart"))
-    edges = between.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart").groupBy("a", "b").agg(F.min("apart").alias("apart"))
-    edges = checkpoint(edges.withColumn("of_a", F.col("a")).withColumn("of_b", F.col("b")))
+    edges = between.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = checkpoint(edges)
     needed = edges.select(F.col("a").alias("hash")).unionByName(edges.select(F.col("b").alias("hash"))).distinct()
     texts = checkpoint(docs.select("hash", "text").join(needed, "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text")))
-    good = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    step = "group"
-    while not edges.isEmpty():
-        least = F.min(F.struct("apart", "a", "b")).alias("e")
-        if step == "group":
-            one = edges.select("apart", "a", "b", F.col("of_a").alias("g")).unionByName(edges.select("apart", "a", "b", F.col("of_b").alias("g"))).groupBy("g").agg(least).select("e.a", "e.b").distinct()
-        elif step == "pair":
-            one = edges.groupBy(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).agg(least).select("e.a", "e.b")
-        else:
-            one = edges.select("a", "b")
-        judged = checkpoint(alike(one, texts, shingle, similarity))
-        n, n_good = judged.agg(F.count("*"), F.count(F.when(F.col("alike"), 1))).first()
-        good = good.unionByName(judged.filter("alike").select("a", "b"))
-        if step == "all":
-            break
-        roots = components(good)
-        left = edges.join(judged, ["a", "b"], "left_anti")
-        for side in ("a", "b"):
-            left = left.drop(f"of_{side}").join(roots.select(F.col("node").alias(side), F.col("root").alias(f"of_{side}")), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
-        edges = checkpoint(left.filter(F.col("of_a") != F.col("of_b")).select("a", "b", "apart", "of_a", "of_b"))
-        step = "group" if step == "group" and 2 * n_good >= n else "pair" if step == "group" else "all"
-    return components(good).select(F.col("node").alias("hash"), F.col("root").alias("group"))
+    return components(alike(edges, texts, shingle, similarity).filter("alike").select("a", "b")).select(F.col("node").alias("hash"), F.col("root").alias("group"))
 
 
 #: Pairs of one text that meet in a task.
@@ -476,6 +458,7 @@ def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
             shared = [len(x & y) for x, y in zip(left, right, strict=True)]
             ok = [k >= similarity * (len(x) + len(y) - k) for k, x, y in zip(shared, left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "alike"])
+        give_back()
 
     both = with_text(with_text(pairs, "a"), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(judge, "a bigint, b bigint, alike boolean")

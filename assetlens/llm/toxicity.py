@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from assetlens.llm.common import checkpoint, table
+from assetlens.llm.common import checkpoint, give_back, table
 
 #: Labelled rows that are learned from, about.
 TRAIN_ROWS = 20_000
@@ -123,6 +123,7 @@ def scorer(model: Model):
             texts = ["" if t is None else t for t in texts]
             x = features(np.array([weight_in(t, model, automaton) for t in texts], float), np.array([len(t) for t in texts], float))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(model.logistic), -30, 30))))
+        give_back()
 
     return score
 
