@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from assetlens.llm import fill_in_middle, filter_audit
 from assetlens.llm.best_fit_packing import op4_best_two_fit
 from assetlens.llm.block_labeller import op1_html_extraction
+from assetlens.llm.fill_in_middle import op12_fill_in_middle
+from assetlens.llm.filter_audit import op11_filter_audit
 from assetlens.llm.jpeg_media import op5_jpeg_media
 from assetlens.llm.line_dedup import op2_line_dedup
 from assetlens.llm.pivot_search import op3_pivot_topk
@@ -24,6 +27,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -42,4 +47,6 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
 }
