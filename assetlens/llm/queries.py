@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from assetlens.llm import fill_in_middle, filter_audit
+from assetlens.llm.balanced_sharding import op13_balanced_sharding
 from assetlens.llm.best_fit_packing import op4_best_two_fit
 from assetlens.llm.block_labeller import op1_html_extraction
 from assetlens.llm.fill_in_middle import op12_fill_in_middle
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_filter_audit": op11_filter_audit,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_balanced_sharding": op13_balanced_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
