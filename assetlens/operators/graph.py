@@ -46,18 +46,24 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("a").alias("id"), F.col("b").alias("_root")), "id", "left").select("id", F.coalesce("_root", "id").alias("cluster"))
 
 
-def top_parents(tree: DataFrame, stops: Column, rounds: int = 40) -> DataFrame:
-    """tree (id, parent_id, ...) to (id, top_id): the parent's parent and so on, to the top of trees of any depth (2 ** rounds);
-    ``stops`` holds for nodes that are tops of their own. Every round doubles the way that is known."""
+def top_parents(tree: DataFrame, stops: Column) -> DataFrame:
+    """tree (id, parent_id, ...) to (id, top_id): the parent's parent and so on, to the top of trees of any depth. ``stops`` holds for
+    nodes that are tops of their own, and so is a node whose parent isn't in the tree. Nodes on a cycle, or below one, have no top (null).
+
+    Every round doubles the way that is known, so nodes of each depth get there sooner or later; once a round brings no node to its
+    top, the others never get there."""
     own = tree.select("id", F.when(stops, F.lit(None)).otherwise(F.col("parent_id")).alias("up"))
-    found = cut(own.select("id", F.coalesce("up", "id").alias("top_id")))
-    for _ in range(rounds):
-        further = found.select(F.col("id").alias("top_id"), F.col("top_id").alias("_next"))
-        after = cut(found.join(further, "top_id", "left").select("id", F.coalesce("_next", "top_id").alias("top_id"), (F.col("_next") != F.col("top_id")).alias("_moved")))
-        found = after.select("id", "top_id")
-        if after.filter("_moved").isEmpty():
+    up = own.join(tree.select(F.col("id").alias("up")).distinct().withColumn("_in", F.lit(True)), "up", "left").withColumn("up", F.when(F.col("_in"), F.col("up")))
+    found = cut(up.select("id", F.coalesce("up", "id").alias("top_id"), F.col("up").isNull().alias("done")))
+    left = found.filter("not done").count()
+    while left:
+        further = found.select(F.col("id").alias("top_id"), F.col("top_id").alias("_next"), F.col("done").alias("_there"))
+        found = cut(found.join(further, "top_id").select("id", F.col("_next").alias("top_id"), F.col("_there").alias("done")))
+        now = found.filter("not done").count()
+        if now == left:
             break
-    return found
+        left = now
+    return found.select("id", F.when(F.col("done"), F.col("top_id")).alias("top_id"))
 
 
 def shortest_paths(edges: DataFrame, roots: DataFrame, most: int = 40) -> DataFrame:

@@ -75,33 +75,30 @@ def numbered_lines(c: Column) -> Column:
     return F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"^\s*[1-9]"), i)), lambda i: i.isNotNull())
 
 
+#: What parts the items of a cell, the surest mark first. A number or a dash begins an item, the others stand between two.
+ITEM_MARKS = {
+    "number": r"(?:^|\s)\d{1,2}\s?[.)](?!\d)",
+    "dash": r"(?:^|\n|(?<=\)\s))\s*[\p{Pd}•]\s",
+    "blank line": r"\n\s*\n",
+    "semicolon": ";",
+    "bracket": r"(?<=\))",
+    "line": "\n",
+}
+
+
 def split_items(c: Column, starts: Column) -> Column:
-    """The items of a cell that holds several; as many as ``starts`` (lines of the squares' cell that begin with a number) where a looser
-    rule is to be believed. Rules in order: numbered items, bullets, bracketed remarks, empty lines, semicolons, lines, lines by number."""
-    n = F.size(starts)
-    rest = lambda parts: F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    numbered = rest(F.split(c, r"\d[.)]\s"))
-    loosely = rest(F.split(c, r"\d{1,2}\s*[.)]"))
-    bracketed = F.regexp_extract_all(c, F.lit(r"([^)]+\([^)]+\);?)"), 1)
-    by_gap = F.split(F.regexp_replace(c, r"[^\S\n]+\n", "\n"), r"\n\n+")
-    by_sign = F.split(F.regexp_replace(c, r"^[ ;]+|[ ;]+$", ""), ";")
+    """The items of a cell that holds several; ``starts``: the lines at which items begin in the cell beside it, the squares.
+
+    Each kind of mark gives a list of items. The one whose length is nearest to the number of starts is taken, of several the surest.
+    Last comes a list by lines: those from one start to the next are an item, for cells that go on over several lines."""
+    tidy = lambda x: F.regexp_replace(text.one_space(x), r"^[\s\p{Pd};]+|[\s;]+$", "")
+    kept = lambda xs: F.filter(F.transform(xs, tidy), lambda x: x != "")
     lines = F.split(c, "\n")
-    full_lines = F.filter(lines, lambda x: F.trim(x) != "")
-    within = F.filter(starts, lambda s: s < F.size(lines))  # a cell with fewer lines has fewer items
-    by_number = F.transform(within, lambda s, i: F.array_join(F.slice(lines, s + 1, F.greatest(F.coalesce(F.get(within, i + 1), F.size(lines)) - s, F.lit(0))), " "))
-    found = (
-        F.when(c.rlike(r"(?s)^\d[.)]\s+.+\n\d\.\s"), numbered)
-        .when(c.rlike(r"(?s)^\s*\d[.)]\s*.+\n\d[.)]\s*") & (F.size(loosely) == n) & (n > 0), loosely)
-        .when(c.rlike(r"(?s)^\p{Pd}\s+.+\n\p{Pd}\s"), F.split(c, r"\n\p{Pd}"))
-        .when(c.rlike(r"(?s)^\p{Pd}.+\)[\s\n]+\p{Pd}\s"), F.split(c, r"[\s\n]\p{Pd}\s"))
-        .when((F.size(bracketed) == n) & (n > 0), bracketed)
-        .when((F.size(by_gap) == n) & (n > 0), by_gap)
-        .when(F.size(by_sign) == n, by_sign)
-        .when(F.size(lines) == n, lines)
-        .when(F.size(full_lines) == n, full_lines)
-        .otherwise(by_number)
-    )
-    return F.transform(found, lambda x: F.regexp_replace(text.one_space(x), r"^[\s\p{Pd}]+|[\s;]+$", ""))
+    item_of = lambda i: F.size(F.filter(starts, lambda s: s <= i))
+    by_starts = F.transform(starts, lambda _, k: F.array_join(F.filter(lines, lambda x, i: F.greatest(item_of(i), F.lit(1)) == k + 1), " "))
+    lists = [*(F.split(c, mark) for mark in ITEM_MARKS.values()), by_starts]
+    choice = [F.struct(F.abs(F.size(kept(xs)) - F.size(starts)).alias("off"), F.lit(k).alias("rank"), kept(xs).alias("items")) for k, xs in enumerate(lists)]
+    return F.array_min(F.array(*choice))["items"]
 
 
 def realty(types: str, own_types: str | None, square: str, country: str, owned: bool) -> Column:
@@ -138,34 +135,39 @@ def realty_of_column(c: Column, column: str) -> Column:
     return F.when(blank(c), F.array().cast("array<struct<text: string, type: string, square: double>>")).otherwise(rows)
 
 
+#: Kinds of tokens (the first pattern that fits names the kind), and the order of kinds that a name has: family, first name and
+#: patronymic; patronymic second; family with initials before or behind; two or three words before a dash.
+TOKEN_KINDS = {
+    "d": r"^\p{Pd}$",
+    "r": "(?i)^(" + "|".join(ROLES) + ")",
+    "i": r"^\p{Lu}\.(\p{Lu}\.?)?$",
+    "p": rf"(?i)^\p{{L}}.*({names.PATRONYMIC_MALE}|{names.PATRONYMIC_FEMALE})",
+    "w": r"^\p{Lu}",
+}
+NAME_OF_KINDS = "wwp|wpw|wi{1,2}|i{1,2}w|^w{2,3}(?=d)"
+
+
 def name_and_position(c: Column) -> Column:
-    """struct<name, position> of a cell with both; null where no rule tells them apart."""
-
-    def parts(v: Column) -> Column:
-        words = F.split(F.regexp_replace(v, r"\s+\p{Pd}\s+", " "), r"[,\s]+")
-        patronymic = lambda w: F.lower(w).rlike(f"{names.PATRONYMIC_MALE}|{names.PATRONYMIC_FEMALE}")
-        role = lambda w: F.lower(w).rlike(r"(^|\s)(" + "|".join(ROLES) + ")")
-        n, join = F.size(words), lambda a: F.array_join(a, " ")
-        first, last = lambda k: join(F.slice(words, 1, k)), lambda k: join(F.slice(words, n - k + 1, k))
-        after = lambda k: join(F.slice(words, k + 1, F.greatest(n - k, F.lit(0))))
-        before = join(F.slice(words, 1, F.greatest(n - 3, F.lit(0))))
-        pair = lambda a, b: F.struct(F.trim(a).alias("name"), F.trim(b).alias("position"))
-        third, dashed = F.get(words, F.lit(2)), F.split(v, r"\s+\p{Pd}\s+")
-        initials = r"[А-ЯЁA-Z]\.\s?[А-ЯЁA-Z]\."
-        return (
-            F.when((n >= 3) & patronymic(third) & ~role(F.get(words, F.lit(0))) & ~role(F.get(words, F.lit(1))), pair(first(F.lit(3)), after(F.lit(3))))
-            .when((n >= 3) & patronymic(F.get(words, n - 1)), pair(last(F.lit(3)), before))
-            .when(v.rlike(r"\w\.\w\.,"), pair(F.regexp_extract(v, r"(?U)^(.*?\w\.\w\.),(.*)$", 1), F.regexp_extract(v, r"(?U)^(.*?\w\.\w\.),(.*)$", 2)))
-            .when((n >= 2) & F.get(words, F.lit(1)).rlike(f"^{initials}$") & role(after(F.lit(2))), pair(first(F.lit(2)), after(F.lit(2))))
-            .when(F.size(dashed) == 2, pair(F.get(dashed, F.lit(0)), F.get(dashed, F.lit(1))))
-        )
-
-    return F.get(F.transform(F.array(F.regexp_replace(c, r"\d+\.\s+", "")), parts), F.lit(0))
-
-
-def without_index(c: Column) -> Column:
-    """'12. Name' and '12) Name' without the number."""
-    return F.nullif(F.trim(F.regexp_extract(c, r"(?U)\s*\d+[.)]\s*(\w.+)", 1)), F.lit(""))
+    """struct<name, position> of a cell with both, in any order; null where no name is found.
+
+    Every token (between spaces and commas) gets a letter for its kind, and one search over the letters finds the name's place. What
+    is left of the tokens is the position."""
+
+    def kind(w: Column) -> Column:
+        out = None
+        for letter, pattern in TOKEN_KINDS.items():
+            out = F.when(w.rlike(pattern), letter) if out is None else out.when(w.rlike(pattern), letter)
+        return out.otherwise("x")
+
+    def found(t: Column) -> Column:
+        kinds = F.array_join(F.transform(t, kind), "")
+        at, n = F.regexp_instr(kinds, F.lit(NAME_OF_KINDS)), F.length(F.regexp_extract(kinds, NAME_OF_KINDS, 0))
+        words = lambda start, many: F.array_join(F.filter(F.slice(t, start, many), lambda w: ~w.rlike(r"^\p{Pd}$")), " ")
+        rest = F.concat_ws(" ", F.nullif(words(F.lit(1), at - 1), F.lit("")), F.nullif(words(at + n, F.greatest(F.size(t) - at - n + 1, F.lit(0))), F.lit("")))
+        return F.when(at > 0, F.struct(words(at, n).alias("name"), rest.alias("position")))
+
+    tokens = F.filter(F.split(F.regexp_replace(c, r"^\s*\d+\s*[.)]", ""), r"[,\s]+"), lambda w: w != "")
+    return F.get(F.transform(F.array(tokens), found), F.lit(0))
 
 
 def before_week_days(cells: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row of real-estate cells for each order: its lineitems' types, kinds of ownership, squares and country, in one of five notations."""
     pick = lambda words, k: F.get(F.array(*map(F.lit, words)), k.cast("int"))
     item = F.struct("l_linenumber", "l_partkey", pick(TYPES, F.col("l_partkey") % 4).alias("t"), pick(OWN, F.col("l_partkey") % 3).alias("o"), F.translate(F.format_number(F.col("l_quantity") + 10.5, 1), ".", ",").alias("s"))
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("xs")).filter(F.size("xs") < 10)
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("xs"))
     k = F.col("id") % 5
     plain = lambda name, sign: F.array_join(F.transform("xs", lambda x: x[name]), sign)
     numbered = lambda name: F.array_join(F.transform("xs", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x[name])), "\n")
@@ -76,17 +76,18 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ESTATES = """WITH x AS (SELECT l_orderkey AS id, ['Земельный участок', 'Квартира', 'Жилой дом', 'Гараж'][l_partkey % 4 + 1] AS type, ['Индивидуальная', 'Долевая', 'Аренда'][l_partkey % 3 + 1] AS own_type, l_quantity + 10.5 AS square, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"""
 
 
-@query(f"""{_ESTATES} SELECT id, type, own_type, square, 'россия' AS country, 'В собственности' AS by_column FROM x WHERE n < 10""")
+@query(f"""{_ESTATES} SELECT id, type, own_type, square, 'россия' AS country, 'В собственности' AS by_column FROM x""")
 def x31_realty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several items in each cell, numbered, with bullets, by empty lines, semicolons or lines; square and country swapped in some."""
     found = _cells(spark, sf_dir).select("id", F.explode(S.realty("types", "own", "square", "country", owned=True)).alias("r"))
     return found.select("id", "r.type", "r.own_type", "r.square", "r.country", "r.by_column")
 
 
-@query(f"""{_ESTATES} SELECT id, count(*) AS items, count(DISTINCT type) AS types FROM x WHERE n < 10 AND n > 1 GROUP BY id""")
+@query(f"""{_ESTATES.replace("count(*) OVER", "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INTEGER) AS k, count(*) OVER")} SELECT id, k, type AS text FROM x WHERE n > 1""")
 def x34_split_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of cells with several, in order, as they were written."""
     parts = S.split_items(F.col("types"), S.numbered_lines(F.col("square")))
-    return _cells(spark, sf_dir).filter(F.size(S.numbered_lines(F.col("square"))) > 1).select("id", F.size(parts).cast("bigint").alias("items"), F.size(F.array_distinct(parts)).cast("bigint").alias("types"))
+    return _cells(spark, sf_dir).filter(F.size(S.numbered_lines(F.col("square"))) > 1).select("id", F.posexplode(parts).alias("k", "text"))
 
 
 @query("SELECT l_orderkey AS id, 'квартира' AS type, l_quantity + 10.5 AS square FROM lineitem")

@@ -118,7 +118,7 @@ def e3_all_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE t AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey // 2 END AS up FROM supplier),
-    r(id, top_id, d) AS (SELECT id, id, 0 FROM t UNION ALL SELECT r.id, up, d + 1 FROM r JOIN t ON t.id = r.top_id WHERE up IS NOT NULL AND d < 5)
+    r(id, top_id, d) AS (SELECT id, id, 0 FROM t UNION ALL SELECT r.id, up, d + 1 FROM r JOIN t ON t.id = r.top_id WHERE up IN (SELECT s_suppkey FROM supplier))
     SELECT id, arg_max(top_id, d) AS top_id FROM r GROUP BY id""")
 def e11_top_offices(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.floor(F.col("s_suppkey") / 2).cast("bigint").alias("parent_id"))

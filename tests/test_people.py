@@ -108,14 +108,16 @@ def test_amount_links_go_over_ranges(spark):
 
 def test_split_items_by_each_rule(spark):
     cases = [
-        ("1. Квартира\n2. Дом\n3. Дача", 3, ["Квартира", "Дом", "Дача"]), ("1)Квартира\n2)Дом", 2, ["Квартира", "Дом"]), ("- Квартира\n- Дом", 2, ["Квартира", "Дом"]),
-        ("- Дом (доля) - Гараж", 2, ["Дом (доля)", "Гараж"]), ("Квартира \n(долевая\n\n0,3) \n \nДом (своя)", 2, ["Квартира (долевая 0,3)", "Дом (своя)"]),
-        ("Квартира\n\nДом\n\n\nДача", 3, ["Квартира", "Дом", "Дача"]), ("Квартира; Дом;", 2, ["Квартира", "Дом"]), ("Квартира\nДом", 2, ["Квартира", "Дом"]),
-        ("Квартира\n \nДом\n", 2, ["Квартира", "Дом"]), ("Квартира\nв доме\nДача", 2, ["Квартира", "в доме Дача"]),
+        ("1. Баня\n2. Сарай\n3. Гараж", 3, ["Баня", "Сарай", "Гараж"]), ("1)Баня\n2)Сарай", 2, ["Баня", "Сарай"]), ("1) Баня 2) Сарай", 2, ["Баня", "Сарай"]), ("- Баня\n- Сарай", 2, ["Баня", "Сарай"]),
+        ("- Комната (1/3) - Гараж", 2, ["Комната (1/3)", "Гараж"]), ("Комната (в найме) Гараж (в собственности)", 2, ["Комната (в найме)", "Гараж (в собственности)"]),
+        ("Баня\n\nСарай\n \n\nГараж", 3, ["Баня", "Сарай", "Гараж"]), ("Баня; Сарай;", 2, ["Баня", "Сарай"]), ("Баня\nСарай", 2, ["Баня", "Сарай"]),
+        ("Баня\n \nСарай\n", 2, ["Баня", "Сарай"]), ("10. Баня\n11. Сарай", 2, ["Баня", "Сарай"]), ("Баня", 2, ["Баня"]), ("", 2, []),
     ]
     rows = spark.createDataFrame([(k, c, list(range(n))) for k, (c, n, _) in enumerate(cases)], "k int, c string, n array<int>")
     got = {r.k: list(r.x) for r in rows.select("k", second_pass.split_items(F.col("c"), F.col("n")).alias("x")).collect()}
     assert got == {k: want for k, (_, _, want) in enumerate(cases)}
+    over_lines = spark.createDataFrame([("Баня\nиз бревна\nСарай", [0, 2])], "c string, n array<int>")
+    assert over_lines.select(second_pass.split_items(F.col("c"), F.col("n"))).first()[0] == ["Баня из бревна", "Сарай"]
 
 
 def test_cells_let_down_from_rows_above_move_the_others(spark):
@@ -127,12 +129,15 @@ def test_cells_let_down_from_rows_above_move_the_others(spark):
 def test_tops_of_deep_trees(spark):
     tree = spark.createDataFrame([(i, i - 1 if i else None, i == 30) for i in range(50)], "id int, parent_id int, stop boolean")
     assert {r.id: r.top_id for r in graph.top_parents(tree, F.col("stop")).collect()} == {i: 30 if i >= 30 else 0 for i in range(50)}
+    odd = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (5, 99), (6, 5), (7, 7), (8, None)], "id int, parent_id int")
+    assert {r.id: r.top_id for r in graph.top_parents(odd, F.lit(False)).collect()} == {1: None, 2: None, 3: None, 4: None, 5: 5, 6: 5, 7: None, 8: 8}
 
 
 def test_names_with_positions(spark):
     cases = {
-        "Рутенберг Дмитрий Анатольевич начальник управления": ("Рутенберг Дмитрий Анатольевич", "начальник управления"), "начальник управления Рутенберг Дмитрий Анатольевич": ("Рутенберг Дмитрий Анатольевич", "начальник управления"),
-        "Головачева Н.В., заместитель": ("Головачева Н.В.", "заместитель"), "Головачева Н.В. заместитель главы": ("Головачева Н.В.", "заместитель главы"), "3. Ким Олег - водитель": ("Ким Олег", "водитель"), "водитель": None,
+        "Осипова Вера Павловна директор школы": ("Осипова Вера Павловна", "директор школы"), "главный врач Осипова Вера Павловна": ("Осипова Вера Павловна", "главный врач"),
+        "Вера Павловна Осипова, главный врач": ("Вера Павловна Осипова", "главный врач"), "Зуев П.К., советник": ("Зуев П.К.", "советник"), "советник Зуев П. К.": ("Зуев П. К.", "советник"),
+        "7) П.К. Зуев помощник судьи": ("П.К. Зуев", "помощник судьи"), "12. Ли Анна - повар": ("Ли Анна", "повар"), "повар": None, "": None,
     }
     rows = spark.createDataFrame([(c,) for c in cases], "c string").select("c", second_pass.name_and_position(F.col("c")).alias("x")).collect()
     assert {r.c: None if r.x is None else tuple(r.x) for r in rows} == cases
