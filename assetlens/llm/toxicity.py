@@ -138,9 +138,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     labels = labels.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = labels.count()
     share = min(1.0, rows / max(1, n))
-    chosen = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < int(share * 1_000_000))
-    # about TRAIN_ROWS rows of two numbers at any size of the corpus
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    # about TRAIN_ROWS rows of two numbers at any size of the corpus: 63 bits of a hash against a share of them
+    chosen = labels.filter(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(8)), 1) <= min(2**63 - 1, int(share * 2**63)))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # an id that repeats gives one row, its smallest text's, so that the sample stays bounded
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _count(train: DataFrame, of) -> DataFrame:

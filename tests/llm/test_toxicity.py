@@ -71,3 +71,11 @@ def test_held_out_accuracy(spark):
     caught = sum(p for p, y in test if y)
     assert caught >= 0.8 * sum(y for _, y in test) and sum(p for p, y in test if not y) <= 0.02 * len(test)
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_the_sample_is_bounded(spark):
+    docs = spark.range(400).select("id").withColumnRenamed("id", "doc_id").selectExpr("doc_id % 100 as doc_id", "concat('t', doc_id % 3) as text")
+    labels = spark.range(100).selectExpr("id as doc_id", "id % 2 as toxic")
+    usable = labels.filter(~T.held_out("doc_id")).count()
+    assert T.training_rows(docs, labels).count() == usable
+    assert 5 <= T.training_rows(docs, labels, rows=20).count() <= 40
