@@ -70,8 +70,8 @@ def newest_hit(rows: DataFrame, group: str, newest: str, hit: Column) -> DataFra
 
 
 def reordered_key(name: Column) -> Column:
-    """Equal for names of the same words in any order."""
-    return F.array_join(F.array_sort(F.filter(F.split(F.lower(F.trim(name)), r"\s+"), lambda w: w != "")), " ")
+    """Equal for names of the same words in any order, ё as е."""
+    return F.array_join(F.array_sort(F.filter(F.split(F.translate(F.lower(F.trim(name)), "ё", "е"), r"\s+"), lambda w: w != "")), " ")
 
 
 def external_match(own: DataFrame, external: DataFrame) -> DataFrame:

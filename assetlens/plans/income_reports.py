@@ -179,10 +179,14 @@ def a33_brand_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     return properties(spark, sf_dir).join(brands, "vehicle_id").join(sections(spark, sf_dir), "section_id").groupBy("office_id", "brand").agg(F.countDistinct("person_id").alias("n"))
 
 
-@query("""WITH w AS (PIVOT (SELECT p_brand AS brand, p_size FROM part WHERE p_size <= 4) ON p_size IN (1, 2, 3, 4) USING count(*) GROUP BY brand)
-    SELECT *, "1" + "2" + "3" + "4" AS total, round(100 * ("1" + "2" + "3" + "4") / sum("1" + "2" + "3" + "4") OVER (), 2) AS percent FROM w""")
+#: Sizes of parts stand for years; a pivot needs its columns named.
+SIZES = list(range(1, 51))
+
+
+@query(f"""WITH w AS (PIVOT (SELECT p_brand AS brand, p_size FROM part) ON p_size IN ({", ".join(map(str, SIZES))}) USING count(*) GROUP BY brand), n AS (SELECT p_brand AS brand, count(*) AS total FROM part GROUP BY p_brand)
+    SELECT w.*, total, round(100 * total / sum(total) OVER (), 2) AS percent FROM w JOIN n USING (brand)""")
 def a34_brands_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.pivot_shares(table(spark, sf_dir, "part").filter("p_size <= 4").withColumnRenamed("p_brand", "brand"), "brand", "p_size", [1, 2, 3, 4])
+    return statistics.pivot_shares(table(spark, sf_dir, "part").withColumnRenamed("p_brand", "brand"), "brand", "p_size", SIZES)
 
 
 @query("""WITH c AS (SELECT p_type, count(DISTINCT p_brand) AS n FROM part GROUP BY p_type)

@@ -100,11 +100,12 @@ def m3_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrate.precision_recall(rows, "score", "y")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE l_quantity >= 50), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_orderkey + 1000000000000 AS b FROM orders), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     r(id, seen) AS (SELECT a, a FROM both_ways UNION SELECT r.id, w.b FROM r JOIN both_ways w ON w.a = r.seen)
     SELECT id, min(seen) AS cluster FROM r GROUP BY id""")
 def e3_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b"))
+    """Persons with all of their sections; e3_all_components has the components that grow over many."""
+    links = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 1_000_000_000_000).alias("b"))
     nodes = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
     return graph.connected(nodes, links)
 
@@ -125,13 +126,17 @@ def e11_top_offices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.top_parents(tree, F.col("id") % 4 == 0)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 300 AS src, l_suppkey % 300 AS dst FROM lineitem), r(id, depth, path) AS (
-        SELECT CAST(1 AS BIGINT), 0, [CAST(1 AS BIGINT)] UNION SELECT e.dst, r.depth + 1, list_append(r.path, e.dst) FROM r JOIN e ON e.src = r.id WHERE r.depth < 3 AND NOT list_contains(r.path, e.dst)),
-    m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
-    SELECT m.id, CAST(m.depth AS INTEGER) AS depth, min(path) AS path FROM m JOIN r ON r.id = m.id AND r.depth = m.depth GROUP BY ALL""")
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000000000 AS dst FROM lineitem UNION SELECT DISTINCT l_partkey + 1000000000000, l_suppkey FROM lineitem),
+    r0 AS (SELECT min(s_suppkey) AS id, [min(s_suppkey)] AS path FROM supplier),
+    r1 AS (SELECT dst AS id, min(list_append(path, dst)) AS path FROM r0 JOIN e ON src = id GROUP BY dst),
+    r2 AS (SELECT dst AS id, min(list_append(path, dst)) AS path FROM r1 JOIN e ON src = id WHERE dst NOT IN (SELECT id FROM r0) GROUP BY dst),
+    r3 AS (SELECT dst AS id, min(list_append(path, dst)) AS path FROM r2 JOIN e ON src = id WHERE dst NOT IN (SELECT id FROM r1) GROUP BY dst)
+    SELECT id, 0 AS depth, path FROM r0 UNION ALL SELECT id, 1, path FROM r1 UNION ALL SELECT id, 2, path FROM r2 UNION ALL SELECT id, 3, path FROM r3""")
 def g5_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 300).alias("src"), (F.col("l_suppkey") % 300).alias("dst"))
-    return graph.shortest_paths(edges, spark.createDataFrame([(1,)], "id bigint"), most=3)
+    """From the first supplier over parts to other suppliers, three steps at most."""
+    to = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000_000).alias("dst"))
+    edges = to.unionByName(to.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.shortest_paths(edges, table(spark, sf_dir, "supplier").agg(F.min("s_suppkey").alias("id")), most=3)
 
 
 @query(r"""SELECT lower(regexp_replace(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://', ''), '^[wW]{3}\.', ''), '/+$', '')) AS mirror,

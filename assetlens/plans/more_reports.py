@@ -118,10 +118,10 @@ def u5_unused_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*pair).distinct().join(rows.filter("l_quantity < 25").select(*pair), ["a", "b"], "left_anti")
 
 
-@query("""WITH v AS (SELECT l_orderkey AS doc, l_extendedprice AS x FROM lineitem WHERE l_quantity > 20), m AS (SELECT doc, list_sort(list(x))[len(list(x)) // 2 + 1] AS middle, count(*) AS n FROM v GROUP BY doc)
+@query("""WITH v AS (SELECT l_orderkey AS doc, l_extendedprice AS x FROM lineitem), m AS (SELECT doc, list_sort(list(x))[len(list(x)) // 2 + 1] AS middle, count(*) AS n FROM v GROUP BY doc)
     SELECT doc, middle, n > 3 AND middle > 10000 AS plain FROM m""")
 def x27_thousands_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    amounts = table(spark, sf_dir, "lineitem").filter("l_quantity > 20").select(F.col("l_orderkey").alias("doc"), F.col("l_extendedprice").alias("x"))
+    amounts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_extendedprice").alias("x"))
     lists = amounts.groupBy("doc").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     middle = F.get("xs", F.floor(F.size("xs") / 2).cast("int"))
     return lists.select("doc", middle.alias("middle"), ((F.size("xs") > 3) & (middle > 10_000)).alias("plain"))

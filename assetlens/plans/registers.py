@@ -127,12 +127,12 @@ def j9_documents_with_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(web, "id", "left").join(human, "id", "left").fillna(0, ["web_refs", "human_refs"])
 
 
-@query(f"""WITH {NAMED_SQL}, w AS (SELECT DISTINCT person_id, list_sort([family, replace(whole_first, 'е', 'е'), whole_patronymic]) AS key FROM named WHERE section_id % 4 = 0 AND whole_first NOT IN ('петр', 'алена')),
-    x AS (SELECT DISTINCT person_id, list_sort([family, whole_first, whole_patronymic]) AS key FROM named WHERE section_id % 4 = 1 AND whole_first NOT IN ('петр', 'алена'))
+@query(f"""WITH {NAMED_SQL}, w AS (SELECT DISTINCT person_id, list_sort([family, whole_first, whole_patronymic]) AS key FROM named WHERE section_id % 4 = 0),
+    x AS (SELECT DISTINCT person_id, list_sort([family, whole_first, whole_patronymic]) AS key FROM named WHERE section_id % 4 = 1)
     SELECT w.person_id AS own, x.person_id AS other FROM w JOIN x USING (key)""")
 def j21_reordered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persons of two lists, of which one has the family name last."""
-    rows = named_sections(spark, sf_dir).filter(~F.col("person_name").rlike("ё")).withColumn("key", R.reordered_key(F.col("person_name")))
+    rows = named_sections(spark, sf_dir).withColumn("key", R.reordered_key(F.col("person_name")))
     part = lambda k, name: rows.filter(F.col("section_id") % 4 == k).select("key", F.col("person_id").alias(name)).distinct()
     return part(0, "own").join(part(1, "other"), "key").select("own", "other")
 
