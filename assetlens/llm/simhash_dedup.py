@@ -334,12 +334,41 @@ def split_keys(key: np.ndarray, words: list[np.ndarray], bound: int, level: int)
         yield mix(mix(key) ^ mix(piece * np.uint64(2 * bound + 3) + np.uint64(k + 1)))
 
 
-def links(nodes: DataFrame, bound: int = 4, within: int | None = None, words: int = 1, long_run: int | None = None) -> DataFrame:
+def pairs_across(key: np.ndarray, words: list[np.ndarray], own: list[np.ndarray], within: int, similarity: float, most: float, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, ...] | np.ndarray]:
+    """All pairs (a, b, bits apart) of rows of one key that are of different groups, at least one of which is filed there; last, the rows of
+    runs that are too long. own: each row's number, its group, and the size of its set. Sizes too far apart for the similarity are left out."""
+    order = np.argsort(key, kind="stable")
+    key, words, (ids_, group, size) = key[order], [w[order] for w in words], [x[order] for x in own]
+    heads = np.flatnonzero(np.r_[True, key[1:] >> 1 != key[:-1] >> 1])
+    lengths = np.diff(np.r_[heads, len(key)])
+    end, long = np.repeat(heads + lengths, lengths), np.repeat(lengths > most, lengths)
+    active, step = np.flatnonzero((key & 1 == 0) & ~long), 1
+    while len(active := active[active + step < end[active]]):
+        for lo in range(0, len(active), at_once):
+            i = active[lo : lo + at_once]
+            j = i + step
+            ok = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+            i, j = i[ok], j[ok]
+            apart = np.zeros(len(i), np.uint16)
+            for w in words:
+                apart += np.bitwise_count(w[i] ^ w[j])
+            near = apart <= within
+            if near.any():
+                yield ids_[i[near]], ids_[j[near]], apart[near]
+        step += 1
+    yield order[long]
+
+
+def links(nodes: DataFrame, bound: int = 4, within: int | None = None, words: int = 1, long_run: int | None = None, across: float | None = None) -> DataFrame:
     """nodes (fp, distinct, and bits where fingerprints have several words) to links (a, b, apart) of fps, which connect all fingerprints within
-    the bound of each other and none further than ``within`` (the bound, if not given) apart."""
+    the bound of each other and none further than ``within`` (the bound, if not given) apart.
+
+    With ``across`` (a similarity), nodes have a number, a group and a size as well, fingerprints may repeat, and all pairs of
+    numbers of different groups come out, once or several times, that meet below a key and whose sizes allow the similarity."""
     spark = nodes.sparkSession
-    bits = nodes.select("fp" if words == 1 else "bits")
-    n, both = bit_statistics(bits, WORD * words)
+    bits = nodes.select("fp" if words == 1 else "bits", *(["number", "group", "size"] if across is not None else []))
+    extra = 0 if across is None else 3
+    n, both = bit_statistics(bits.select(bits.columns[0]), WORD * words)
     if n < 2:
         return spark.createDataFrame([], "a bigint, b bigint, apart int")
     parts = plan(n, both, bound)
@@ -353,7 +382,7 @@ def links(nodes: DataFrame, bound: int = 4, within: int | None = None, words: in
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(v.view(np.int64)), pa.array(k.astype(np.int64))], names=["part", "value", "n"])
 
     # no more than HOT_SHARE values of a part can have more than n / HOT_SHARE fingerprints; runs below other values are split where they meet
-    crowded = bits.mapInArrow(values, "part int, value bigint, n bigint").groupBy("part", "value").agg(F.sum("n").alias("n")).filter(F.col("n") > max(HOT_LEAST, n // HOT_SHARE)).collect()
+    crowded = bits.select(bits.columns[0]).mapInArrow(values, "part int, value bigint, n bigint").groupBy("part", "value").agg(F.sum("n").alias("n")).filter(F.col("n") > max(HOT_LEAST, n // HOT_SHARE)).collect()
     hot = [np.sort(np.array([r.value for r in crowded if r.part == i], np.int64).view(np.uint64)) for i in range(len(parts))]
 
     def packed(key: np.ndarray, probes: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, bytes]]:
@@ -363,10 +392,10 @@ def links(nodes: DataFrame, bound: int = 4, within: int | None = None, words: in
 
     def send(batches):
         for batch in batches:
-            own = words_of(batch.column(0))
+            own = words_of(batch.column(0)) + [batch.column(1 + k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in range(extra)]
             for lo in range(0, len(own[0]), 1 << 13):
                 some = [w[lo : lo + (1 << 13)] for w in own]
-                sent = [(k[m], np.flatnonzero(m).astype(np.int32), p) for k, p, m in keys(some, parts, bound, hot)]
+                sent = [(k[m], np.flatnonzero(m).astype(np.int32), p) for k, p, m in keys(some[:words], parts, bound, hot)]
                 key, at = np.concatenate([k for k, _, _ in sent]), np.concatenate([i for _, i, _ in sent])
                 probes = np.repeat(np.array([p for _, _, p in sent], np.uint32), [len(k) for k, _, _ in sent])
                 rows = packed(key, probes, [w[at] for w in some])
@@ -376,16 +405,30 @@ def links(nodes: DataFrame, bound: int = 4, within: int | None = None, words: in
     found_schema = pa.schema([("bucket", pa.int32()), ("rows", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int32())])
 
     def verify(level: int):
+        most, limit = RUN if level < LEVELS else math.inf, bound if within is None else within
+
+        def found_below(key, own):
+            if across is None:
+                *found, left = links_below(key, own, limit, long_run=long_run, most=most)
+                yield from (found, left)
+            else:
+                yield from pairs_across(key, own[:words], own[words:], limit, across, most)
+
         def each(batches):
-            key, *own = unpack([x for batch in batches for x in batch.column(1).to_pylist()], ["<u4"] + ["<u8"] * words)
+            key, *own = unpack([x for batch in batches for x in batch.column(1).to_pylist()], ["<u4"] + ["<u8"] * (words + extra))
             if not len(key):
                 return
-            a, b, apart, left = links_below(key, own, bound if within is None else within, long_run=long_run, most=RUN if level < LEVELS else math.inf)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(apart.astype(np.int32))], schema=found_schema)
+            left = None
+            for some in found_below(key, own):
+                if isinstance(some, np.ndarray):
+                    left = some
+                    break
+                a, b, apart = some
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(apart.astype(np.int32))], schema=found_schema)
             for lo in range(0, len(left), 1 << 13):
                 rows, mine = [], left[lo : lo + (1 << 13)]
                 some = [w[mine] for w in own]
-                for further in split_keys((key[mine] >> 1).astype(np.uint64), some, bound, level):
+                for further in split_keys((key[mine] >> 1).astype(np.uint64), some[:words], bound, level):
                     rows += packed(further, key[mine] & np.uint32(1), some)
                 none = pa.nulls(len(rows), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), none, none, pa.nulls(len(rows), pa.int32())], schema=found_schema)
@@ -424,7 +467,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bound: int = 4) -> DataFr
 def similar_texts(docs: DataFrame, shingle: int, similarity: float, words: int, bound: int, within: int) -> DataFrame:
     """(hash, group) of texts (hash, text) that are linked to another one, over any number of links; of equal hashes any text.
 
-    Fingerprints give candidates, of each key those of a spanning forest; the similarity of all of them is taken from the texts."""
+    Fingerprints give candidates, of each key those of a spanning forest, and the similarity of all of them is taken from the texts.
+    Where all candidates that hang together are similar, no other one can change a group. Where one isn't, the forest may have hidden
+    others that are: there all candidates between different groups are judged, in a second pass over these texts alone."""
     fps = checkpoint(fingerprints(docs.select(F.col("hash").alias("doc_id"), "text"), shingle, words).groupBy("doc_id").agg(*(F.first(c).alias(c) for c in (["fp", "bits"] if words > 1 else ["fp"]))))
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("hash"), *([F.first("bits").alias("bits")] if words > 1 else [])))
     between = links(nodes, bound, within, words, long_run=RUN)
@@ -435,7 +480,36 @@ def similar_texts(docs: DataFrame, shingle: int, similarity: float, words: int,
     edges = checkpoint(edges)
     needed = edges.select(F.col("a").alias("hash")).unionByName(edges.select(F.col("b").alias("hash"))).distinct()
     texts = checkpoint(docs.select("hash", "text").join(needed, "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text")))
-    return components(alike(edges, texts, shingle, similarity).filter("alike").select("a", "b")).select(F.col("node").alias("hash"), F.col("root").alias("group"))
+    judged = checkpoint(alike(edges, texts, shingle, similarity))
+    good = judged.filter("alike").select("a", "b")
+    groups = components(good)
+    refused = judged.filter("not alike")
+    if not refused.isEmpty():
+        # whatever hangs together with a refused candidate
+        together = components(edges)
+        together = together.unionByName(together.select(F.col("root").alias("node"), "root").distinct())
+        restless = refused.select(F.col("a").alias("node")).join(together, "node").select("root").distinct()
+        own = together.join(restless, "root", "left_semi").select(F.col("node").alias("number")).join(groups.select(F.col("node").alias("number"), F.col("root").alias("group")), "number", "left")
+        rows = fps.select(F.col("doc_id").alias("number"), *([c for c in fps.columns if c != "doc_id"])).join(own, "number")
+        sizes = set_sizes(texts.join(own.select(F.col("number").alias("hash")), "hash", "left_semi"), shingle)
+        rows = checkpoint(rows.join(sizes, "number").withColumn("group", F.coalesce("group", "number")))
+        further = links(rows, bound, within, words, across=similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        further = checkpoint(further.distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+        more = checkpoint(alike(further, texts, shingle, similarity).filter("alike").select("a", "b"))
+        if not more.isEmpty():
+            groups = components(good.unionByName(more))
+    return groups.select(F.col("node").alias("hash"), F.col("root").alias("group"))
+
+
+def set_sizes(texts: DataFrame, shingle: int) -> DataFrame:
+    """number (the hash) and size (different word shingles) of texts."""
+
+    def each(batches):
+        for batch in batches:
+            n = [len(set(shingle_hashes((t or "").encode(), shingle))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["number", "size"])
+
+    return texts.select("hash", "text").mapInArrow(each, "number bigint, size bigint")
 
 
 #: Pairs of one text that meet in a task.

@@ -234,3 +234,47 @@ def test_forest_keeps_the_nearest():
         for k in range(5):  # as many links of up to k bits as any forest has
             near = joined(zip(a[go][apart[go] <= k].tolist(), b[go][apart[go] <= k].tolist(), strict=True))
             assert int((z <= k).sum()) == 20 - len({near(i) for i in range(20)})
+
+
+def test_no_near_link_is_hidden_in_families(spark):
+    """Families whose members change a few words of a text, again and again, so that many pairs lie near 0.8: all pairs against brute force."""
+    rng = random.Random(12)
+    docs, family = [], {}
+    for f in range(24):
+        base = [f"f{f}w{rng.randrange(10**6)}" for _ in range(250)]
+        for k in range(8 if f % 2 else 20):
+            base = list(base) if k % 3 else base
+            member = list(base)
+            for _ in range(rng.randrange(3, 9)):
+                member[rng.randrange(len(member))] = f"x{rng.randrange(10**9)}"
+            base = member if rng.random() < 0.5 else base
+            family[len(docs)] = f
+            docs.append((len(docs), " ".join(member)))
+    frame = spark.createDataFrame(docs, "hash bigint, text string")
+    groups = {r.hash: r.group for r in S.similar_texts(frame, 5, 0.8, 2, 17, 25).collect()}
+    sets = {i: set(S.shingle_hashes(t.encode(), 5)) for i, t in docs}
+    bits = {i: S.fingerprint(t.encode(), 5, 2) for i, t in docs}
+    lost = close = near = 0
+    parent = {i: i for i, _ in docs}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, _ in docs:
+        for j in range(i):
+            if family[i] != family[j]:
+                continue
+            shared = len(sets[i] & sets[j])
+            if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                apart = sum((x ^ y).bit_count() for x, y in zip(bits[i], bits[j], strict=True))
+                near += 1
+                close += apart <= 17
+                lost += groups.get(i, -i - 1) != groups.get(j, -j - 1)
+                assert apart > 17 or groups[i] == groups[j]
+                parent[root(i)] = root(j)
+    assert close > 100 and near > close
+    assert lost <= 0.03 * near
+    # nothing links below the similarity
+    assert all(root(i) == root(j) for i in groups for j in groups if groups[i] == groups[j])
