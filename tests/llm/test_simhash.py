@@ -251,7 +251,8 @@ def test_no_near_link_is_hidden_in_families(spark):
             family[len(docs)] = f
             docs.append((len(docs), " ".join(member)))
     frame = spark.createDataFrame(docs, "hash bigint, text string")
-    groups = {r.hash: r.group for r in S.similar_texts(frame, 5, 0.8, 2, 17, 25).collect()}
+    found = {r.hash: r.group for r in S.similar_texts(frame, 5, 0.8, 2, 17, 25).collect()}
+    groups = {i: found.get(i, i) for i, _ in docs}
     sets = {i: set(S.shingle_hashes(t.encode(), 5)) for i, t in docs}
     bits = {i: S.fingerprint(t.encode(), 5, 2) for i, t in docs}
     lost = close = near = 0
@@ -271,10 +272,11 @@ def test_no_near_link_is_hidden_in_families(spark):
                 apart = sum((x ^ y).bit_count() for x, y in zip(bits[i], bits[j], strict=True))
                 near += 1
                 close += apart <= 17
-                lost += groups.get(i, -i - 1) != groups.get(j, -j - 1)
+                lost += groups[i] != groups[j]
                 assert apart > 17 or groups[i] == groups[j]
                 parent[root(i)] = root(j)
     assert close > 100 and near > close
-    assert lost <= 0.03 * near
+    assert lost <= 0.03 * near, (lost, near, close)
+    print("lost", lost, "of", near, "within 17 bits", close)
     # nothing links below the similarity
     assert all(root(i) == root(j) for i in groups for j in groups if groups[i] == groups[j])
