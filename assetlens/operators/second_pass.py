@@ -139,7 +139,7 @@ def realty_of_column(c: Column, column: str) -> Column:
 #: patronymic; patronymic second; family with initials before or behind; two or three words before a dash.
 TOKEN_KINDS = {
     "d": r"^\p{Pd}$",
-    "r": "(?i)^(" + "|".join(ROLES) + ")",
+    "r": "(?iu)^(" + "|".join(ROLES) + ")",
     "i": r"^\p{Lu}\.(\p{Lu}\.?)?$",
     "p": rf"(?i)^\p{{L}}.*({names.PATRONYMIC_MALE}|{names.PATRONYMIC_FEMALE})",
     "w": r"^\p{Lu}",
