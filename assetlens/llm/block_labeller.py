@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from assetlens.llm.common import table
-from assetlens.llm.html_blocks import Block, blocks
+from assetlens.llm.html_blocks import Block, Path, blocks
 from assetlens.llm.html_corpus import Maker
 
 PATH, WORDS, PLAIN, HIDDEN = 192, 96, 12, 28
@@ -43,16 +43,27 @@ def _bucket(key: str, n: int) -> int:
     return zlib.crc32(key.encode()) % n
 
 
-@lru_cache(1 << 14)
-def _path_places(path: tuple) -> np.ndarray:
-    keys = []
-    for up, (tag, names) in enumerate(reversed(path)):
-        keys.append(f"t {tag}")
-        if up < 2:
-            keys.append(f"t{up} {tag}")
-        for w in names:
-            keys += [f"c {w}"] + ([f"c{up} {w}"] if up < 2 else [])
-    return np.array(sorted({_bucket(k, PATH) for k in keys}), np.int64)
+def _keys(tag: str, names: tuple[str, ...], mark: str = "") -> int:
+    """Bits of the places of a tag and its words."""
+    bits = 1 << _bucket(f"t{mark} {tag}", PATH)
+    for w in names:
+        bits |= 1 << _bucket(f"c{mark} {w}", PATH)
+    return bits
+
+
+def _path_places(path: Path | None) -> np.ndarray:
+    """Places of all tags of a path, and of the two innermost by where they are. Every node keeps the bits of all tags around it."""
+    if path is None:
+        return np.zeros(0, np.int64)
+    new, node = [], path
+    while node is not None and node.cache is None:
+        new.append(node)
+        node = node.up
+    for node in reversed(new):
+        bits = _keys(node.tag, node.names) | (node.up.cache[0] if node.up else 0)
+        near = bits | _keys(node.tag, node.names, "0") | (_keys(node.up.tag, node.up.names, "1") if node.up else 0)
+        node.cache = (bits, near)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(path.cache[1].to_bytes(PATH // 8, "little"), np.uint8), bitorder="little"))
 
 
 def vectors(found: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -69,7 +80,7 @@ def vectors(found: list[Block], start: int = 0, stop: int | None = None) -> np.n
         size, k = len(text), len(words)
         x[row, PATH + WORDS :] = (
             np.log1p(size) / 6, np.log1p(k) / 4, b.linked / size, size < 30, sum(map(text.count, ".,!?;")) / (k + 1),
-            text[-1] in ".!?:", "©" in text, text[0].isupper(), i / n, (n - i) / n, 1 / (1 + i), len(b.path) / 8,
+            text[-1] in ".!?:", "©" in text, text[0].isupper(), i / n, (n - i) / n, 1 / (1 + i), (b.path.depth if b.path else 0) / 8,
         )
     return x
 

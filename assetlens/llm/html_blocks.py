@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+MARKS = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 #: Their content isn't markup and never text of the page.
 RAW = {"script", "style", "template", "svg", "iframe", "noembed", "noframes"}
@@ -21,15 +23,77 @@ STOPS = {"ul", "ol", "dl", "table", "select", "body", "html"}
 SPACE = re.compile(r"\s+")
 
 
+class Path:
+    """An open tag with what is open around it, as a linked node, so that a block's path costs no copy."""
+
+    __slots__ = ("cache", "depth", "names", "tag", "up")
+
+    def __init__(self, up: Path | None, tag: str, names: tuple[str, ...]) -> None:
+        self.up, self.tag, self.names, self.depth, self.cache = up, tag, names, 1 + (up.depth if up else 0), None
+
+
 @dataclass
 class Block:
     text: str
-    #: (tag, words of its class, id and role) from the outermost to the innermost open tag.
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    #: The innermost open tag that isn't inline, with the words of its class, id and role; None outside of all tags.
+    path: Path | None
     #: Code points of the text that stand in links.
     linked: int
 
 
+class _Ends:
+    """Where a tag that begins at a place ends: at the first > outside of quotes, if there is one. Worked out once for a page, from its
+    last mark to its first, so that tags that never end cost no search of their own."""
+
+    def __init__(self, page: str) -> None:
+        self.at, self.end = [], []
+        marks = [(m.start(), m[0]) for m in MARKS.finditer(page)]
+        after: dict[str, int] = {}
+        found = [-1] * (len(marks) + 1)
+        for k in range(len(marks) - 1, -1, -1):
+            place, mark = marks[k]
+            if mark == ">":
+                found[k] = place
+            else:
+                if mark in after:
+                    found[k] = found[after[mark] + 1]
+                after[mark] = k
+        self.at, self.end = [p for p, _ in marks], found
+
+    def of(self, start: int) -> int:
+        return self.end[bisect_left(self.at, start)]
+
+
+class _Stack:
+    """Open tags, and for each name where they are in it."""
+
+    def __init__(self) -> None:
+        self.tags: list[tuple[str, Path | None]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def path(self) -> Path | None:
+        return self.tags[-1][1] if self.tags else None
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        path = self.path()
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag not in INLINE:
+            self.blocks.append(len(self.tags))
+            path = Path(path, tag, names)
+        self.tags.append((tag, path))
+
+    def cut(self, size: int) -> None:
+        while len(self.tags) > size:
+            tag, _ = self.tags.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+
 def _names(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
         return ()
@@ -43,7 +107,7 @@ def _names(attributes: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[Block]:
     """All blocks with text in page order; character references are decoded, white space is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack, ends_of = _Stack(), _Ends(page)
     parts: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -53,7 +117,7 @@ def blocks(page: str) -> list[Block]:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
                 # inline tags aren't part of a leaf's path
-                out.append(Block(text, tuple(x for x in stack if x[0] not in INLINE), min(linked, len(text))))
+                out.append(Block(text, stack.path(), min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -65,26 +129,43 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(text.strip())
 
-    n = len(page)
-    find = TOKEN.search
+    n, look = len(page), 0
     while at < n:
-        m = find(page, at)
-        if m is None:
+        start = page.find("<", max(at, look))
+        if start < 0:
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if name is None:
-            if m[1]:
-                add(html.escape(m[1]))
+        stop, tag = start + 1, None
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            stop = n if close < 0 else close + 3
+        elif page.startswith("<![CDATA[", start):
+            close = page.find("]]>", start + 9)
+            stop = n if close < 0 else close + 3
+            tag = page[start + 9 : n if close < 0 else close]
+        elif page.startswith(("<!", "<?"), start):
+            close = page.find(">", start)
+            stop = n if close < 0 else close + 1
+        else:
+            m = NAME.match(page, start + 1)
+            end = ends_of.of(m.end()) if m else -1
+            if end < 0:
+                look = start + 1  # not a tag: text goes on
+                continue
+            stop = end + 1
+        if start > at:
+            add(page[at:start])
+        at = look = stop
+        if page.startswith(("<!", "<?"), start):
+            if tag:
+                add(html.escape(tag))
             continue
-        name = name.lower()
+        closes, name, attributes = bool(m[1]), m[2].lower(), page[m.end() : end]
+        alone = attributes.rstrip().endswith("/")
         if name in RAW:
-            if not m[2] and not m[4].rstrip().endswith("/"):
+            if not closes and not alone:
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-                at = close.end() if close else n
+                at = look = close.end() if close else n
             continue
         if name == "br" or name == "wbr":
             if name == "br":
@@ -93,30 +174,25 @@ def blocks(page: str) -> list[Block]:
         inline = name in INLINE
         if not inline:
             end_block()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if inline and any(x[0] not in INLINE for x in stack[i + 1 :]):
-                        break  # a stray end tag of an inline tag doesn't close blocks
-                    del stack[i:]
-                    break
+        if closes:
+            own = stack.last((name,))
+            # a stray end tag of an inline tag doesn't close blocks
+            if own >= 0 and not (inline and stack.blocks and stack.blocks[-1] > own):
+                stack.cut(own)
             if name == "a":
-                in_link = sum(x[0] == "a" for x in stack)
+                in_link = len(stack.places.get("a", ()))
             continue
         if name in VOID:
             continue
-        ends = ENDS.get(name, ()) if name in ENDS else (() if inline else {"p"})
-        if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                tag = stack[i][0]
-                if tag in ends:
-                    del stack[i:]
-                    break
-                if tag in STOPS or (tag not in INLINE and name not in ENDS):
-                    break
-        if not m[4].rstrip().endswith("/"):
-            stack.append((name, _names(m[4])))
+        if name in ENDS:
+            ended = stack.last(ENDS[name])
+            if ended > stack.last(STOPS):
+                stack.cut(ended)
+        elif not inline and stack.blocks and stack.tags[stack.blocks[-1]][0] == "p":
+            stack.cut(stack.blocks[-1])
+        if not alone:
+            stack.push(name, _names(attributes))
         if not inline or name == "a":
-            in_link = sum(x[0] == "a" for x in stack)
+            in_link = len(stack.places.get("a", ()))
     end_block()
     return out

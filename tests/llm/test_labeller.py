@@ -1,5 +1,7 @@
 from collections import Counter
 
+import time
+import tracemalloc
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -97,3 +99,21 @@ def test_query_on_odd_rows(spark, weights, tmp_path):
     assert got[4, "w"].n_chars == len((PROSE * 20_000).strip())
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/empty/pages.parquet")
     assert B.op1_html_extraction(spark, f"{tmp_path}/empty").count() == 0
+
+
+@pytest.mark.parametrize("page", ["<a b " * 200_000, "<div>x" * 166_000, '<a "" ' * 170_000 + '">', "<div>" * 100_000 + "</x>" * 60_000 + "</b>" * 60_000, "<p><ul>" + "<div>" * 80_000 + "<p>x</p>" * 60_000])
+def test_pages_of_a_megabyte_cost_their_length(page):
+    """Tags that never end, deep nesting, quotes without an end and end tags without a start: seconds, and memory by the page's length."""
+    tracemalloc.start()
+    began = time.time()
+    found = blocks(page)
+    places = [len(B._path_places(b.path)) for b in found]
+    took, (_, most) = time.time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert took < 60 and most < 500e6  # tracing slows it down some tenfold
+    assert len(places) == len(found)
+
+
+def test_paths_and_strays():
+    found = blocks("<div class='main Text'><b>x</b><p id=a1>y<i>z</i></div></b></p>w<a b")
+    assert [(b.text, b.path and (b.path.tag, b.path.names, b.path.depth)) for b in found] == [("x", ("div", ("main", "text"), 1)), ("yz", ("p", ("a1",), 2)), ("w<a b", None)]
