@@ -336,9 +336,11 @@ def split_keys(key: np.ndarray, words: list[np.ndarray], bound: int, level: int)
 
 def pairs_across(key: np.ndarray, words: list[np.ndarray], own: list[np.ndarray], within: int, similarity: float, most: float, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, ...] | np.ndarray]:
     """All pairs (a, b, bits apart) of rows of one key that are of different groups, at least one of which is filed there; last, the rows of
-    runs that are too long. own: each row's number, its group, and the size of its set. Sizes too far apart for the similarity are left out."""
+    runs that are too long. own: each row's number, its group, the size of its set and its sketch. Two sets share at most the smaller
+    count in every cell of their sketches, so pairs that can't have the similarity are left out, and none that can."""
     order = np.argsort(key, kind="stable")
-    key, words, (ids_, group, size) = key[order], [w[order] for w in words], [x[order] for x in own]
+    key, words, (ids_, group, size, *cells) = key[order], [w[order] for w in words], [x[order] for x in own]
+    sketch = np.stack(cells, axis=1).view("<u2")
     heads = np.flatnonzero(np.r_[True, key[1:] >> 1 != key[:-1] >> 1])
     lengths = np.diff(np.r_[heads, len(key)])
     end, long = np.repeat(heads + lengths, lengths), np.repeat(lengths > most, lengths)
@@ -353,6 +355,12 @@ def pairs_across(key: np.ndarray, words: list[np.ndarray], own: list[np.ndarray]
             for w in words:
                 apart += np.bitwise_count(w[i] ^ w[j])
             near = apart <= within
+            for a in range(0, len(i), 1 << 14) if near.any() else ():
+                part = np.flatnonzero(near[a : a + (1 << 14)]) + a
+                u, v = i[part], j[part]
+                shared, least = np.minimum(sketch[u], sketch[v]).sum(1, dtype=np.uint64), np.minimum(size[u], size[v])
+                shared = np.where(shared == 65535 * CELLS, least, np.minimum(shared, least))
+                near[part] = shared >= similarity * (size[u] + size[v] - shared)
             if near.any():
                 yield ids_[i[near]], ids_[j[near]], apart[near]
         step += 1
@@ -363,11 +371,11 @@ def links(nodes: DataFrame, bound: int = 4, within: int | None = None, words: in
     """nodes (fp, distinct, and bits where fingerprints have several words) to links (a, b, apart) of fps, which connect all fingerprints within
     the bound of each other and none further than ``within`` (the bound, if not given) apart.
 
-    With ``across`` (a similarity), nodes have a number, a group and a size as well, fingerprints may repeat, and all pairs of
-    numbers of different groups come out, once or several times, that meet below a key and whose sizes allow the similarity."""
+    With ``across`` (a similarity), nodes have a number, a group, a size and a sketch as well, fingerprints may repeat, and all pairs of
+    numbers of different groups come out, once or several times, that meet below a key and whose sketches allow the similarity."""
     spark = nodes.sparkSession
-    bits = nodes.select("fp" if words == 1 else "bits", *(["number", "group", "size"] if across is not None else []))
-    extra = 0 if across is None else 3
+    bits = nodes.select("fp" if words == 1 else "bits", *(["number", "group", "size", "sketch"] if across is not None else []))
+    extra = 0 if across is None else 3 + CELLS // 4
     n, both = bit_statistics(bits.select(bits.columns[0]), WORD * words)
     if n < 2:
         return spark.createDataFrame([], "a bigint, b bigint, apart int")
@@ -392,7 +400,9 @@ def links(nodes: DataFrame, bound: int = 4, within: int | None = None, words: in
 
     def send(batches):
         for batch in batches:
-            own = words_of(batch.column(0)) + [batch.column(1 + k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in range(extra)]
+            own = words_of(batch.column(0))
+            if extra:
+                own += [batch.column(1 + k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in range(3)] + words_of(batch.column(4))
             for lo in range(0, len(own[0]), 1 << 13):
                 some = [w[lo : lo + (1 << 13)] for w in own]
                 sent = [(k[m], np.flatnonzero(m).astype(np.int32), p) for k, p, m in keys(some[:words], parts, bound, hot)]
@@ -469,7 +479,8 @@ def similar_texts(docs: DataFrame, shingle: int, similarity: float, words: int,
 
     Fingerprints give candidates, of each key those of a spanning forest, and the similarity of all of them is taken from the texts.
     Where all candidates that hang together are similar, no other one can change a group. Where one isn't, the forest may have hidden
-    others that are: there all candidates between different groups are judged, in a second pass over these texts alone."""
+    others that are: there all candidates between different groups are judged, in a second pass over these texts alone. Sketches keep
+    those away that cannot be similar."""
     fps = checkpoint(fingerprints(docs.select(F.col("hash").alias("doc_id"), "text"), shingle, words).groupBy("doc_id").agg(*(F.first(c).alias(c) for c in (["fp", "bits"] if words > 1 else ["fp"]))))
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("hash"), *([F.first("bits").alias("bits")] if words > 1 else [])))
     between = links(nodes, bound, within, words, long_run=RUN)
@@ -493,23 +504,30 @@ def similar_texts(docs: DataFrame, shingle: int, similarity: float, words: int,
         rows = fps.select(F.col("doc_id").alias("number"), *([c for c in fps.columns if c != "doc_id"])).join(own, "number")
         sizes = set_sizes(texts.join(own.select(F.col("number").alias("hash")), "hash", "left_semi"), shingle)
         rows = checkpoint(rows.join(sizes, "number").withColumn("group", F.coalesce("group", "number")))
+        seen = judged.select("a", "b")
         further = links(rows, bound, within, words, across=similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        further = checkpoint(further.distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti"))
-        more = checkpoint(alike(further, texts, shingle, similarity).filter("alike").select("a", "b"))
+        more = checkpoint(alike(further.distinct().join(seen, ["a", "b"], "left_anti"), texts, shingle, similarity).filter("alike").select("a", "b"))
         if not more.isEmpty():
             groups = components(good.unionByName(more))
     return groups.select(F.col("node").alias("hash"), F.col("root").alias("group"))
 
 
+#: Cells of a sketch: how many of a set's hashes fall into each, up to 65535.
+CELLS = 256
+
+
 def set_sizes(texts: DataFrame, shingle: int) -> DataFrame:
-    """number (the hash) and size (different word shingles) of texts."""
+    """number (the hash), size (different word shingles) and sketch of texts. A sketch that a cell is too small for is full in all cells,
+    which says nothing about the set."""
 
     def each(batches):
         for batch in batches:
-            n = [len(set(shingle_hashes((t or "").encode(), shingle))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["number", "size"])
+            sets = [np.unique(np.array(shingle_hashes((t or "").encode(), shingle), "<u8")) for t in batch.column(1).to_pylist()]
+            counts = [np.bincount((x % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) for x in sets]
+            cells = [np.full(CELLS, 65535, "<u2") if c.max() > 65535 else c.astype("<u2") for c in counts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([c.tobytes() for c in cells], pa.binary())], names=["number", "size", "sketch"])
 
-    return texts.select("hash", "text").mapInArrow(each, "number bigint, size bigint")
+    return texts.select("hash", "text").mapInArrow(each, "number bigint, size bigint, sketch binary")
 
 
 #: Pairs of one text that meet in a task.
