@@ -72,11 +72,10 @@ def gap_by_class(facts: DataFrame, of: str, base: object, *sets: tuple[str, ...]
     """Grouping sets (of, *set): count, median, and the truncated gap in percent of the base class's median over the own."""
     keys = sorted({k for s in sets for k in s})
     base_sql = "'" + str(base).replace("'", "''") + "'"
-    facts.createOrReplaceTempView("_facts")
     groups = ", ".join("(" + ", ".join([of, *s]) + ")" for s in sets)
     columns = ", ".join([of, *keys])
     marks = ", ".join(f"grouping({k}) AS all_{k}" for k in keys)
-    grouped = facts.sparkSession.sql(f"SELECT {columns}, {marks}, count(*) AS n, median(income) AS middle FROM _facts GROUP BY GROUPING SETS ({groups})")
+    grouped = facts.sparkSession.sql(f"SELECT {columns}, {marks}, count(*) AS n, median(income) AS middle FROM {{facts}} GROUP BY GROUPING SETS ({groups})", facts=facts)
     flags = [f"all_{k}" for k in keys]
     own = grouped.alias("o")
     reference = grouped.filter(f"{of} = {base_sql}").select(*keys, *flags, F.col("middle").alias("base_middle"))
