@@ -478,9 +478,9 @@ def similar_texts(docs: DataFrame, shingle: int, similarity: float, words: int,
     """(hash, group) of texts (hash, text) that are linked to another one, over any number of links; of equal hashes any text.
 
     Fingerprints give candidates, of each key those of a spanning forest, and the similarity of all of them is taken from the texts.
-    Where all candidates that hang together are similar, no other one can change a group. Where one isn't, the forest may have hidden
-    others that are: there all candidates between different groups are judged, in a second pass over these texts alone. Sketches keep
-    those away that cannot be similar."""
+    If all of them are similar, no other one can change a group. If one isn't, the forest may have hidden others that are: then all
+    candidates between different groups are judged, in a second pass over the texts that have candidates. Sketches keep those away that
+    cannot be similar."""
     fps = checkpoint(fingerprints(docs.select(F.col("hash").alias("doc_id"), "text"), shingle, words).groupBy("doc_id").agg(*(F.first(c).alias(c) for c in (["fp", "bits"] if words > 1 else ["fp"]))))
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("hash"), *([F.first("bits").alias("bits")] if words > 1 else [])))
     between = links(nodes, bound, within, words, long_run=RUN)
@@ -496,19 +496,19 @@ def similar_texts(docs: DataFrame, shingle: int, similarity: float, words: int,
     groups = components(good)
     refused = judged.filter("not alike")
     if not refused.isEmpty():
-        # whatever hangs together with a refused candidate
-        together = components(edges)
-        together = together.unionByName(together.select(F.col("root").alias("node"), "root").distinct())
-        restless = refused.select(F.col("a").alias("node")).join(together, "node").select("root").distinct()
-        own = together.join(restless, "root", "left_semi").select(F.col("node").alias("number")).join(groups.select(F.col("node").alias("number"), F.col("root").alias("group")), "number", "left")
-        rows = fps.select(F.col("doc_id").alias("number"), *([c for c in fps.columns if c != "doc_id"])).join(own, "number")
-        sizes = set_sizes(texts.join(own.select(F.col("number").alias("hash")), "hash", "left_semi"), shingle)
+        own = needed.select(F.col("hash").alias("number")).join(groups.select(F.col("node").alias("number"), F.col("root").alias("group")), "number", "left")
+        rows = fps.select(F.col("doc_id").alias("number"), *(c for c in fps.columns if c != "doc_id")).join(own, "number")
+        sizes = set_sizes(texts, shingle)
         rows = checkpoint(rows.join(sizes, "number").withColumn("group", F.coalesce("group", "number")))
         seen = judged.select("a", "b")
         further = links(rows, bound, within, words, across=similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = checkpoint(alike(further.distinct().join(seen, ["a", "b"], "left_anti"), texts, shingle, similarity).filter("alike").select("a", "b"))
         if not more.isEmpty():
-            groups = components(good.unionByName(more))
+            # few groups join others; all of their texts take the new name
+            label = rows.select(F.col("number"), "group")
+            ends = more.join(label.withColumnsRenamed({"number": "a", "group": "ga"}), "a").join(label.withColumnsRenamed({"number": "b", "group": "gb"}), "b")
+            to = components(ends.select(F.col("ga").alias("a"), F.col("gb").alias("b"))).select(F.col("node").alias("group"), "root")
+            groups = label.join(to, "group", "left").select(F.col("number").alias("node"), F.coalesce("root", "group").alias("root"))
     return groups.select(F.col("node").alias("hash"), F.col("root").alias("group"))
 
 
