@@ -51,6 +51,11 @@ def _keys(tag: str, names: tuple[str, ...], mark: str = "") -> int:
     return bits
 
 
+@lru_cache(1 << 14)
+def _places(bits: int) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little"))
+
+
 def _path_places(path: Path | None) -> np.ndarray:
     """Places of all tags of a path, and of the two innermost by where they are. Every node keeps the bits of all tags around it."""
     if path is None:
@@ -63,7 +68,7 @@ def _path_places(path: Path | None) -> np.ndarray:
         bits = _keys(node.tag, node.names) | (node.up.cache[0] if node.up else 0)
         near = bits | _keys(node.tag, node.names, "0") | (_keys(node.up.tag, node.up.names, "1") if node.up else 0)
         node.cache = (bits, near)
-    return np.flatnonzero(np.unpackbits(np.frombuffer(path.cache[1].to_bytes(PATH // 8, "little"), np.uint8), bitorder="little"))
+    return _places(path.cache[1])
 
 
 def vectors(found: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
