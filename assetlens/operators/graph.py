@@ -21,28 +21,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _down(edges: DataFrame) -> DataFrame:
-    return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes (id) and links (a, b) to (id, cluster): the smallest id reachable. Rounds are logarithmic in a chain's length.
 
-    A round lets every node's neighbours point at the smallest id the node sees; a node's minimum is taken with partial sums,
-    so a hub costs a join's skew handling and no grouped list of its neighbours."""
-    edges, state = _down(links), None
-    while True:
-        for large in (True, False):
-            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-            least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-            near = both.join(least, "a")
-            moved = near.filter("b > a" if large else "b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-            edges = _down(moved if large else moved.unionByName(least.select("a", F.col("least").alias("b"))))
-        edges = cut(edges)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
+    A round lets every node's neighbours point at the smallest id the node sees, first the smaller neighbours, which leaves few of many
+    links between the same nodes, then the larger; a node's minimum is taken with partial sums, so a hub costs a join's skew handling
+    and no grouped list of its neighbours. Done when all is stars: no node has two smaller neighbours, or both a smaller and a larger."""
+    edges, done = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False
+    while not done:
+        least = edges.groupBy("a").agg(F.min("b").alias("least"))
+        edges = edges.join(least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).union(least).distinct()
+        least = edges.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("b"), "least")
+        edges = cut(edges.join(least, "b", "left").select("a", F.coalesce("least", "b").alias("b")).distinct())
+        ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)).distinct())
+        done = ends.groupBy("id").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).filter("ups > 0 and n > 1").isEmpty()
     return nodes.join(edges.select(F.col("a").alias("id"), F.col("b").alias("_root")), "id", "left").select("id", F.coalesce("_root", "id").alias("cluster"))
 
 

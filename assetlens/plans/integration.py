@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlens.functions import text as T
@@ -100,13 +102,23 @@ def m3_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrate.precision_recall(rows, "score", "y")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_orderkey + 1000000000000 AS b FROM orders), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    r(id, seen) AS (SELECT a, a FROM both_ways UNION SELECT r.id, w.b FROM r JOIN both_ways w ON w.a = r.seen)
-    SELECT id, min(seen) AS cluster FROM r GROUP BY id""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_orderkey + 1000000000000 AS b FROM orders UNION ALL SELECT DISTINCT l_suppkey + 2000000000000, l_partkey + 3000000000000 FROM lineitem),
+    n AS (SELECT a AS id FROM e UNION SELECT b FROM e UNION SELECT c_custkey FROM customer UNION SELECT s_suppkey + 2000000000000 FROM supplier UNION SELECT p_partkey + 3000000000000 FROM part),
+    both_ways AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION ALL SELECT b, a FROM e WHERE a IS NOT NULL),
+    r(id, cluster, going) AS (SELECT id, id, true FROM n WHERE id IS NOT NULL UNION ALL SELECT id, min(cluster), bool_or(min(cluster) < max(own)) OVER ()
+        FROM (SELECT id, cluster, cluster AS own FROM r WHERE going UNION ALL SELECT w.b, cluster, NULL FROM r JOIN both_ways w ON w.a = r.id WHERE going) GROUP BY id)
+    SELECT id, min(cluster) AS cluster FROM r GROUP BY id""")
 def e3_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Persons with all of their sections; e3_all_components has the components that grow over many."""
-    links = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 1_000_000_000_000).alias("b"))
-    nodes = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    """Persons with all of their sections, suppliers with all of their parts and what hangs together over them, by all links of orders
+    and lineitem; those without links included. Ids of the four kinds don't meet, and a null is no node."""
+
+    def kind(column: str, k: int = 0) -> Column:
+        return F.col(column) + F.lit(k * 1_000_000_000_000)
+
+    links = table(spark, sf_dir, "orders").select(kind("o_custkey").alias("a"), kind("o_orderkey", 1).alias("b"))
+    links = links.union(table(spark, sf_dir, "lineitem").select(kind("l_suppkey", 2), kind("l_partkey", 3)))
+    own = [table(spark, sf_dir, t).select(kind(f"{t[0]}_{key}", k).alias("id")) for t, key, k in (("customer", "custkey", 0), ("supplier", "suppkey", 2), ("part", "partkey", 3))]
+    nodes = reduce(DataFrame.union, [*own, links.select("a"), links.select("b")]).dropna().distinct()
     return graph.connected(nodes, links)
 
 
