@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetlens.operators.graph import cut
+
 
 def income_facts(sections: DataFrame, low: float, high: float, years: tuple[int, int]) -> DataFrame:
     """Sections of known persons whose income lies strictly between two bounds, in a range of years."""
@@ -20,11 +22,12 @@ def quantile(rows: DataFrame, keys: list[str], value: str, p: float, out: str) -
     """The exact quantile (interpolated) of each group, of groups of any size; null values don't count.
 
     A sketch gives two values around it, between which two percent of a large group's rows lie; rows below are counted, and only those
-    between are put in order. No group's values are held together."""
+    between are put in order. No group's values are held together. The sketch depends on the order in which its parts arrive, so it is written
+once, and rows below are counted by the same values as rows between."""
     rows = rows.filter(F.col(value).isNotNull()).select(*keys, value)
     around = rows.groupBy(*keys).agg(F.percentile_approx(value, [max(0.0, p - 0.01), min(1.0, p + 0.01)], 10_000).alias("_q"), F.count("*").alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"))
     small = F.col("_n") < 1000
-    around = around.select(*keys, "_n", F.when(small, F.col("_min")).otherwise(F.col("_q")[0]).alias("_low"), F.when(small, F.col("_max")).otherwise(F.col("_q")[1]).alias("_high"))
+    around = cut(around.select(*keys, "_n", F.when(small, F.col("_min")).otherwise(F.col("_q")[0]).alias("_low"), F.when(small, F.col("_max")).otherwise(F.col("_q")[1]).alias("_high")))
     near = rows.join(around, keys).filter(F.col(value) <= F.col("_high"))
     below = F.col(value) < F.col("_low")
     first = near.groupBy(*keys).agg(F.count_if(below).alias("_below"))

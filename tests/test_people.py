@@ -81,6 +81,15 @@ def test_quantiles_of_large_and_small_groups(spark):
         assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want), p
 
 
+def test_quantiles_hold_if_the_sketch_differs_by_run(spark, monkeypatch):
+    """The sketch of a large group depends on the order in which its parts arrive; each time it is worked out it may give other values."""
+    rows = spark.createDataFrame([("a", float(x)) for x in range(3000)], "g string, x double")
+    spread = F.udf(lambda q: [q[0] - random.SystemRandom().uniform(0, 500), q[1] + 500], "array<double>").asNondeterministic()
+    sketch = F.percentile_approx
+    monkeypatch.setattr(statistics.F, "percentile_approx", lambda *a: spread(sketch(*a)))
+    assert statistics.quantile(rows, ["g"], "x", 0.5, "q").first().q == 1499.5
+
+
 def test_orders_over_all_rows(spark):
     r = random.Random(4)
     rows = [(i, r.randrange(50)) for i in r.sample(range(10_000), 500)]
