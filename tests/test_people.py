@@ -25,6 +25,45 @@ def test_single_linkage_cut(spark):
     assert cut([(1, 2, 0.99), (2, 3, 0.99), (1, 3, 0.9)]) == {1: (1, 0.99), 2: (1, 0.99), 3: (1, 0.99)}
 
 
+def test_clusters_of_sums_as_of_all_pairs(spark, monkeypatch):
+    """Against plain pairs, in blocks of one and of several cells and tiles."""
+    from assetlens.operators import linkage
+
+    r = random.Random(3)
+    weights, least = {"xs": 5, "ws": 2}, 12
+    rows = [(i, "ab"[i % 3 == 0], [float(r.randrange(25)) for _ in range(r.randrange(5))] or None, [r.choice("abcdefgh") for _ in range(r.randrange(3))], r.choice(["и", "иван", "ив", "пётр", None]), r.choice(["п", "павлович"])) for i in range(150)]
+    near = lambda x, y: x is None or y is None or x.startswith(y) or y.startswith(x)
+    sums = {}
+    for a in rows:
+        for b in rows:
+            s = 5 * len(set(a[2] or []) & set(b[2] or [])) + 2 * len(set(a[3]) & set(b[3]))
+            if a[0] != b[0] and a[1] == b[1] and near(a[4], b[4]) and near(a[5], b[5]) and s >= least:
+                sums[a[0], b[0]] = s
+    cluster = {x[0]: x[0] for x in rows}
+    for _ in rows:
+        for a, b in sums:
+            cluster[a] = cluster[b] = min(cluster[a], cluster[b])
+    want = {i: (c, max((s for (a, _), s in sums.items() if a == i), default=None)) for i, c in cluster.items()}
+    assert len(set(cluster.values())) > 3 and any(s is None for _, s in want.values())
+    df = spark.createDataFrame(rows, "id bigint, block string, xs array<double>, ws array<string>, first string, patronymic string")
+    link = linkage._links
+    for cell, tile in ((8192, 1024), (8192, 16), (20, 1024), (20, 4)):
+        monkeypatch.setattr(linkage, "CELL", cell)
+
+        def small(*a, tile=tile):
+            linkage.TILE = tile
+            return link(*a)
+
+        monkeypatch.setattr(linkage, "_links", small)
+        got = resolve.clusters_of_sums(df, "block", "id", weights, ["first", "patronymic"], least)
+        assert {x.id: (x.cluster, x.best) for x in got.collect()} == want, (cell, tile)
+
+
+def test_resolution_lists_no_pairs(spark, sf):
+    """Clusters take a row per record from a task: all pairs of a block would grow with the square of a name's frequency."""
+    assert "Join Inner, (((_b" not in (plan := people.resolved_people(spark, sf)._jdf.queryExecution().optimizedPlan().toString()) and "array_intersect" not in plan
+
+
 def greedy(found, old, held):
     """As a list sorted by (-overlap, -first section, person, cluster), each person and cluster once."""
     person_of, shared = dict(old), {}
