@@ -93,12 +93,19 @@ def split_items(c: Column, starts: Column) -> Column:
     Last comes a list by lines: those from one start to the next are an item, for cells that go on over several lines."""
     tidy = lambda x: F.regexp_replace(text.one_space(x), r"^[\s\p{Pd};]+|[\s;]+$", "")
     kept = lambda xs: F.filter(F.transform(xs, tidy), lambda x: x != "")
-    lines = F.split(c, "\n")
-    item_of = lambda i: F.size(F.filter(starts, lambda s: s <= i))
-    by_starts = F.transform(starts, lambda _, k: F.array_join(F.filter(lines, lambda x, i: F.greatest(item_of(i), F.lit(1)) == k + 1), " "))
-    lists = [*(F.split(c, mark) for mark in ITEM_MARKS.values()), by_starts]
-    choice = [F.struct(F.abs(F.size(kept(xs)) - F.size(starts)).alias("off"), F.lit(k).alias("rank"), kept(xs).alias("items")) for k, xs in enumerate(lists)]
-    return F.array_min(F.array(*choice))["items"]
+
+    def chosen(s: Column) -> Column:
+        lines, n = F.split(s["c"], "\n"), F.size(s["starts"])
+        item_of = lambda i: F.size(F.filter(s["starts"], lambda x: x <= i))
+        by_starts = F.transform(s["starts"], lambda _, k: F.array_join(F.filter(lines, lambda x, i: F.greatest(item_of(i), F.lit(1)) == k + 1), " "))
+        lists = [*(F.split(s["c"], mark) for mark in ITEM_MARKS.values()), by_starts]
+        # a list of as many items as there are starts can't be beaten by a less sure one, so the lists after it aren't made
+        exact = [F.get(F.filter(F.transform(F.array(xs), kept), lambda k: F.size(k) == n), F.lit(0)) for xs in lists]
+        choice = [F.struct(F.abs(F.size(kept(xs)) - n).alias("off"), F.lit(k).alias("rank"), kept(xs).alias("items")) for k, xs in enumerate(lists)]
+        return F.coalesce(*exact, F.array_min(F.array(*choice))["items"])
+
+    # a lambda binds the cell and its starts once; as plain expressions they would be made anew wherever they stand
+    return F.get(F.transform(F.array(F.struct(c.alias("c"), starts.alias("starts"))), chosen), F.lit(0))
 
 
 def realty(types: str, own_types: str | None, square: str, country: str, owned: bool) -> Column:
@@ -109,19 +116,27 @@ def realty(types: str, own_types: str | None, square: str, country: str, owned:
     c = {k: F.coalesce(F.col(v), F.lit("")) if v else F.lit("") for k, v in (("types", types), ("own", own_types), ("square", square), ("country", country))}
     swapped = F.lower(F.trim(c["square"])).isin("россия", "рф") & c["country"].rlike("[0-9,.]")
     area, land = F.when(swapped, c["country"]).otherwise(c["square"]), F.when(swapped, c["square"]).otherwise(c["country"])
-    starts = numbered_lines(area)
-    split = lambda x: F.when(F.size(starts) > 1, split_items(x, starts)).otherwise(F.array(text.one_space(x)))
-    items = F.struct(split(c["types"]).alias("types"), split(c["own"]).alias("own"), split(area).alias("square"), split(land).alias("country"))
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    whole = F.struct(c["types"].alias("types"), c["own"].alias("own"), area.alias("square"), land.alias("country"))
+
+    def items(s: Column) -> Column:
+        def parts(starts: Column) -> Column:
+            split = lambda x: F.when(F.size(starts) > 1, split_items(x, starts)).otherwise(F.array(text.one_space(x)))
+            own = {k: split(s[k]).alias(k) for k in ("types", "own", "square", "country")}
+            only = lambda xs: F.when(F.size(F.array_distinct(xs)) == 1, F.get(xs, F.lit(0)))
+            return bound(F.struct(*own.values()), lambda x: F.struct(*(x[k].alias(k) for k in own), only(x["country"]).alias("only")))
+
+        return bound(numbered_lines(s["square"]), parts)
 
     def rows(s: Column) -> Column:
         n = F.greatest(F.size(s["types"]), F.size(s["square"]))
-        only = F.when(F.size(F.array_distinct(s["country"])) == 1, F.get(s["country"], F.lit(0)))
+        only = s["only"]
         one = lambda i: F.struct(
             F.coalesce(F.get(s["types"], i), F.lit("")).alias("text"), F.get(s["own"], i).alias("own_type"), F.get(squares_in(F.get(s["square"], i)), F.lit(0)).alias("square"),
             F.coalesce(F.get(countries(F.coalesce(F.get(s["country"], i), only)), F.lit(0)), F.coalesce(F.get(s["country"], i), only)).alias("country"))
         return F.filter(F.transform(F.sequence(F.lit(0), n - 1), one), lambda r: ~text.is_empty_value(r["text"]))
 
-    found = F.get(F.transform(F.array(items), rows), F.lit(0))
+    found = bound(bound(whole, items), rows)
     in_use = lambda r: F.when(F.lower(r["text"]).contains("пользовани"), STATE)
     own = lambda r: F.nullif(r["own_type"], F.lit("")) if own_types else in_use(r)
     kind = lambda r: r["text"] if own_types or not owned else F.lit(None).cast("string")

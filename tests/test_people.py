@@ -210,3 +210,10 @@ def test_a_forest_scores_both_orientations(spark):
     df = spark.createDataFrame(rows, "id int, u double, v double, same int")
     scored = classify.learned_pair_scores(df.filter("id % 3 > 0"), df.filter("id % 3 = 0"), ["u", "v"], "same", trees=20)
     assert all((r.p > 0.61) == bool(r.same) for r in scored.collect())
+
+
+def test_cells_are_split_by_bound_starts(spark):
+    """Starts of items are made once for a cell, not for every list, line and item: an expression of some length stays one of some length."""
+    rows = spark.createDataFrame([("1. Баня\n2. Сарай", "10\n20")], "c string, s string")
+    plan = rows.select(second_pass.split_items(F.col("c"), second_pass.numbered_lines(F.col("s"))))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("[1-9]") == 1
