@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlens.operators.graph import cut
+from assetlens.operators.ordered import running_totals
 
 
 def income_facts(sections: DataFrame, low: float, high: float, years: tuple[int, int]) -> DataFrame:
@@ -149,11 +152,12 @@ def pivot_shares(df: DataFrame, row: str, column: str, values: list) -> DataFram
 def rank_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Spearman's rho of all pairs of columns (average ranks for ties), over rows without nulls.
 
-    The library's own correlation ranks each column by a sort over ranges."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    whole = VectorAssembler(inputCols=columns, outputCol="v", handleInvalid="skip").transform(df.select(*(F.col(c).cast("double") for c in columns)))
-    matrix = Correlation.corr(whole, "v", "spearman").first()[0].toArray()
-    rows = [(a, b, round(float(matrix[i, j]), 4)) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, rho double")
+    A column's values are counted first, so that each different value is put in order once, range by range, however many rows have it."""
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns]))
+    for c in columns:
+        counts = running_totals(rows.groupBy(c).agg(F.count("*").alias("_n")), [F.col(c)], _upto="_n")
+        rows = rows.join(counts.select(c, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"_r_{c}")), c)
+    rho = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    one = rows.agg(*(F.round(F.coalesce(rho(f"_r_{a}", f"_r_{b}"), F.lit(float("nan"))), 4).alias(f"_{k}") for k, (a, b) in enumerate(pairs)))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{k}").alias("rho")) for k, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")

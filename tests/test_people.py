@@ -215,5 +215,17 @@ def test_a_forest_scores_both_orientations(spark):
 def test_cells_are_split_by_bound_starts(spark):
     """Starts of items are made once for a cell, not for every list, line and item: an expression of some length stays one of some length."""
     rows = spark.createDataFrame([("1. Баня\n2. Сарай", "10\n20")], "c string, s string")
-    plan = rows.select(second_pass.split_items(F.col("c"), second_pass.numbered_lines(F.col("s"))))._jdf.queryExecution().analyzed().toString()
+    plan = rows.select(second_pass.split_items(F.col("c"), second_pass.numbered_lines(F.col("s"))).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("[1-9]") == 1
+
+
+def test_rank_matrix_orders_values_once(spark):
+    r = random.Random(8)
+    rows = [(float(r.randrange(9)), r.random() if i % 40 else None, float("nan") if i % 50 == 3 else float(r.randrange(3))) for i in range(400)]
+    got = statistics.rank_matrix(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"])
+    whole = [x for x in rows if None not in x and x[2] == x[2]]
+    rank = lambda xs: np.array([(sum(y < x for y in xs) + sum(y <= x for y in xs) + 1) / 2 for x in xs])
+    ranks = dict(zip("abc", (rank(xs) for xs in zip(*whole, strict=True)), strict=True))
+    want = {p: round(float(np.corrcoef(ranks[p[0]], ranks[p[1]])[0, 1]), 4) for p in ("ab", "ac", "bc")}
+    assert {x.a + x.b: x.rho for x in got.collect()} == want
+    assert "covar_pop" in got._jdf.queryExecution().optimizedPlan().toString()  # each different value is ordered once, not each row
