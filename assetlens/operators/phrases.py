@@ -1,8 +1,9 @@
 """Dictionaries of many phrases looked up in many texts: an index of first words, a join, and a check of the words that follow.
 
-A text becomes a row for each word with the words after it, as many as the longest phrase has. Phrases are found by their first word
-(by its first letters, for phrases that may end within a word), so a text meets only phrases that begin like one of its words. Spark
-broadcasts the dictionary if it is small enough, and shuffles both sides by first words if not. No number of phrases is too large."""
+A text becomes a row for each word with the words after it, as many as the longest phrase has. Phrases are found by their first words,
+up to four of them (a word that phrases may end within doesn't count, unless it is the only one and found by its first letters), so a
+text meets only phrases that begin like four of its words, however many begin with the same word. Spark broadcasts the dictionary if it
+is small enough, and shuffles both sides by first words if not. No number of phrases is too large."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}]+"
 #: Letters that phrases which may end within a word are found by.
 STEM = 4
+#: Words that a phrase is found by, if it has as many.
+AHEAD = 4
 
 
 def words(c: Column) -> Column:
@@ -19,13 +22,14 @@ def words(c: Column) -> Column:
 
 
 def index(phrases: DataFrame, phrase: str = "phrase", begins: str | None = None) -> DataFrame:
-    """phrases with _key, _text and _n. ``begins``: a boolean column; true if the phrase's last word may be the beginning of a longer one
+    """phrases with _key, _words (how many words are in it; 0: letters), _text and _n. ``begins``: a boolean column; true if the phrase's last word may be the beginning of a longer one
     (if it is the only word, of four letters at least). Phrases without a word are left out."""
     ws = words(F.col(phrase))
     open_ = F.lit(False) if begins is None else F.coalesce(F.col(begins), F.lit(False))
     found = phrases.withColumns({"_ws": ws, "_open": open_}).filter(F.size("_ws") > 0).withColumn("_n", F.size("_ws"))
-    first = F.get("_ws", F.lit(0))
-    return found.withColumns({"_key": F.when(F.col("_open") & (F.col("_n") == 1), F.substring(first, 1, STEM)).otherwise(first), "_text": F.concat(F.array_join("_ws", " "), F.when(F.col("_open"), "").otherwise(" "))}).drop("_ws")
+    found = found.withColumn("_words", F.least(F.lit(AHEAD), F.col("_n") - F.col("_open").cast("int")))
+    key = F.when(F.col("_words") == 0, F.substring(F.get("_ws", F.lit(0)), 1, STEM)).otherwise(F.array_join(F.slice("_ws", 1, F.greatest("_words", F.lit(1))), " "))
+    return found.withColumns({"_key": key, "_text": F.concat(F.array_join("_ws", " "), F.when(F.col("_open"), "").otherwise(" "))}).drop("_ws")
 
 
 def matches(texts: DataFrame, id_: str, text: str, phrases: DataFrame, phrase: str = "phrase", begins: str | None = None) -> DataFrame:
@@ -33,13 +37,23 @@ def matches(texts: DataFrame, id_: str, text: str, phrases: DataFrame, phrase: s
 
     Nulls hold nothing. Case and what stands between words don't matter, and ё counts as е."""
     dictionary = index(phrases, phrase, begins)
-    longest = dictionary.agg(F.max("_n")).first()[0] or 0
-    own = texts.select(F.col(id_), words(F.col(text)).alias("_words"))
-    own = own.select(id_, F.posexplode(F.transform("_words", lambda w, i: F.struct(w.alias("w"), F.concat(F.array_join(F.slice("_words", i + 1, F.lit(max(longest, 1))), " "), F.lit(" ")).alias("ahead")))).alias("pos", "x"))
-    short = F.substring("x.w", 1, STEM)
-    keys = F.when(short == F.col("x.w"), F.array("x.w")).otherwise(F.array("x.w", short)) if begins is not None else F.array("x.w")
-    own = own.select(id_, "pos", F.col("x.ahead").alias("_ahead"), F.explode(keys).alias("_key"))
-    found = own.join(dictionary, "_key").filter(F.col("_ahead").startswith(F.col("_text")))
+    sizes = dictionary.agg(F.max("_n").alias("n"), F.collect_set("_words").alias("words"), F.bool_or(F.col("_open")).alias("open")).first()
+    longest, kinds = sizes["n"] or 0, sorted(sizes["words"] or [])
+    own = texts.select(F.col(id_), words(F.col(text)).alias("_ws"))
+    # the words ahead are needed only where the key isn't all of a phrase
+    checked = bool(sizes["open"]) or longest > AHEAD
+    ahead = lambda i: [F.concat(F.array_join(F.slice("_ws", i + 1, F.lit(longest)), " "), F.lit(" ")).alias("_ahead")] if checked else []
+
+    def keys(k: int) -> Column:
+        key = lambda w, i: F.concat_ws(" ", w, *(F.get("_ws", i + j) for j in range(1, k))) if k else F.substring(w, 1, STEM)
+        return F.transform(F.slice("_ws", 1, F.greatest(F.size("_ws") - (k or 1) + 1, F.lit(0))), lambda w, i: F.struct(i.alias("pos"), F.lit(k).alias("_words"), key(w, i).alias("_key"), *ahead(i)))
+
+    if not kinds:
+        own, kinds = own.limit(0), [1]
+    own = own.select(id_, F.explode(F.concat(*map(keys, kinds))).alias("x"))
+    # a part of the dictionary is put in a table of its own, so that the words of all texts needn't be sorted
+    found = own.select(id_, "x.*").join(dictionary.hint("shuffle_hash"), ["_words", "_key"])
+    found = found.filter(F.col("_ahead").startswith(F.col("_text"))) if checked else found
     return found.select(id_, *(c for c in phrases.columns), "pos", (F.col("pos") + F.col("_n")).alias("upto"), F.length(F.trim("_text")).alias("chars"))
 
 

@@ -79,3 +79,12 @@ def test_cascade(spark):
     sites = spark.createDataFrame([(2, 7), (3, 7), (3, 7), (4, 7), (4, 8)], "id int, office int")
     got = offices.cascade(cases, "id", [("hand", hand, 1), ("model", model, 0.99), ("site", offices.agreed(sites, "id", "office"), None)]).collect()
     assert {r.id: (r.office, r.method) for r in got} == {1: (11, "hand"), 2: (2, "model"), 3: (7, "site"), 4: (None, None), 5: (None, None)}
+
+
+def test_phrases_that_begin_alike_have_keys_of_their_own(spark):
+    """Many phrases may begin with the word that texts have most often: a text's words meet those that go on as they do."""
+    many = spark.createDataFrame([(f"the word number {k} of many",) for k in range(300)] + [("the",), ("the word",)], "phrase string")
+    assert phrases.index(many).select("_words", "_key").distinct().count() == 302
+    texts = spark.createDataFrame([(k, f"See the word number {k} of many, the end") for k in range(200, 310)] + [(1, None), (2, "of many")], "id bigint, t string")
+    got = {(r.id, r.phrase, r.pos) for r in phrases.matches(texts, "id", "t", many).collect()}
+    assert got == {(k, p, at) for k in range(200, 310) for p, at in [("the", 1), ("the", 7), ("the word", 1), (f"the word number {k} of many", 1)] if k < 300 or "of" not in p}
