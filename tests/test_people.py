@@ -174,6 +174,21 @@ def test_cells_let_down_from_rows_above_move_the_others(spark):
     assert {(r.row, r.at, r.span, r.text) for r in placed.collect()} == {(0, 0, 1, "a"), (1, 0, 1, "a"), (0, 1, 2, "b"), (1, 1, 1, "c"), (1, 2, 1, "d"), (2, 2, 1, "d"), (2, 0, 1, "e"), (2, 1, 1, "f")}
 
 
+def test_tables_are_placed_one_after_the_other(spark):
+    """Tables of a task come in a stream, whose batches end within tables; none gets a call of its own."""
+    cells = [(d, t, r, c, 1, 2 if c == 0 and r == 0 else 1, f"{d}.{t}.{r}.{c}") for d in range(6) for t in range(2) for r in range(3) for c in range(2)]
+    df = spark.createDataFrame(cells, tables.CELL).repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        placed = tables.grid(df)
+        got = {(x.doc_id, x.tbl, x.row, x.at): (x.text, x.top, x.rows) for x in placed.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    one = {(0, 0): "0.0", (0, 1): "0.1", (1, 0): "0.0", (1, 1): "1.0", (1, 2): "1.1", (2, 0): "2.0", (2, 1): "2.1"}
+    assert got == {(d, t, r, at): (f"{d}.{t}.{x}", int(x[0]), 2 if x == "0.0" else 1) for d in range(6) for t in range(2) for (r, at), x in one.items()}
+    assert "FlatMapGroups" not in placed._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_tops_of_deep_trees(spark):
     tree = spark.createDataFrame([(i, i - 1 if i else None, i == 30) for i in range(50)], "id int, parent_id int, stop boolean")
     assert {r.id: r.top_id for r in graph.top_parents(tree, F.col("stop")).collect()} == {i: 30 if i >= 30 else 0 for i in range(50)}
