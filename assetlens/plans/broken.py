@@ -37,7 +37,8 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM r LEFT JOIN f USING (doc_id) GROUP BY doc_id""")
 def x25_broken_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document: rows, halves of lines among them, halves that were joined to the half before, other rows that were joined, rows that are left."""
-    rows = cut(_rows(spark, sf_dir))
+    # rows are made of a text anew each time: written out they take more room than all documents
+    rows = _rows(spark, sf_dir)
     pairs = B.frequent_pairs(table(spark, sf_dir, "documents"), "text")
     on = cut(B.continued(rows, pairs))
     left = B.joined_rows(rows, on).groupBy("doc_id").agg(F.count("*").alias("merged"))
